@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language_id, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
+    "op1_bradley_terry_quality": quality_classifier.op1_bradley_terry_quality,
     "op4_mix_source_weights": mixing.op4_mix_source_weights,
+    "op6_distribution_rules": quality_rules.op6_distribution_rules,
     "op8_feistel_shards": sharding.op8_feistel_shards,
+    "op10_bigru_language": language_id.op10_bigru_language,
 }
 
 ORACLE_SQL = {
