@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, licenses, mixing, quality_classifier, quality_rules, sharding
+from . import decontamination, language_id, licenses, mixing, near_dedup, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_bradley_terry_quality": quality_classifier.op1_bradley_terry_quality,
     "op4_mix_source_weights": mixing.op4_mix_source_weights,
+    "op5_bayes_minhash_dedup": near_dedup.op5_bayes_minhash_dedup,
     "op6_distribution_rules": quality_rules.op6_distribution_rules,
     "op7_license_templates": licenses.op7_license_templates,
     "op8_feistel_shards": sharding.op8_feistel_shards,
