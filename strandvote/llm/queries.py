@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, licenses, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from . import decontamination, language_id, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, surrogates
 
 QUERIES = {
     "op1_bradley_terry_quality": quality_classifier.op1_bradley_terry_quality,
+    "op2_winnow_lines": line_dedup.op2_winnow_lines,
+    "op3_surrogates": surrogates.op3_surrogates,
     "op4_mix_source_weights": mixing.op4_mix_source_weights,
     "op5_bayes_minhash_dedup": near_dedup.op5_bayes_minhash_dedup,
     "op6_distribution_rules": quality_rules.op6_distribution_rules,
