@@ -147,11 +147,10 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def repeated_words(w: Words, size: int = 5) -> np.ndarray:
     """By text: words in windows of size words that its text holds twice or more, the first included."""
-    n = len(w.start)
-    if n < size:
-        return np.zeros(len(w.first) - 1, np.int64)
-    text = w.text_of()
+    n, text = len(w.start), w.text_of()
     at = np.flatnonzero(w.left() >= size)
+    if not len(at):
+        return np.zeros(len(w.first) - 1, np.int64)
     key = mix(windows(w.hash, size)[at] + text[at].astype(np.uint64) * _BASE)
     order = np.argsort(key)
     ranked = key[order]

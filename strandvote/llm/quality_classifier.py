@@ -74,7 +74,7 @@ def fit_pairs(f: np.ndarray, good: np.ndarray, steps: int = 400, decay: float =
 
     Each bad document meets as many good ones as the bound on pairs allows, in a fixed random order.
     """
-    f = np.asarray(f, float).reshape(len(f), -1)
+    f = np.asarray(f, float)
     mean, scale = (f.mean(0), f.std(0)) if len(f) else (np.zeros(f.shape[1]), np.ones(f.shape[1]))
     scale = np.where(scale > 1e-9, scale, 1)
     z = np.clip((f - mean) / scale, -6, 6)
