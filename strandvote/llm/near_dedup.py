@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as k
@@ -26,23 +27,28 @@ from .components import components
 WORDS = 5
 #: Similarity, in hundredths, from which documents are linked.
 LIMIT = 85
-#: 24 bands of 5 rows miss a pair at the limit with probability (1 - 0.85 ** 5) ** 24 = 8e-7.
-BANDS, ROWS = 24, 5
-HASHES, BATCH, MISS = BANDS * ROWS, 24, 1e-6
+#: 40 bands of 8 rows miss a pair at the limit with probability (1 - 0.85 ** 8) ** 40 = 3e-6, and few pairs far below it meet.
+BANDS, ROWS, PIVOTS = 40, 8, 2
+HASHES, BATCH, MISS = BANDS * ROWS, 32, 1e-6
+#: Classes of a bucket that are paired with each other directly.
+SMALL = 24
 
 _MASKS = np.random.default_rng(31).integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _FACTORS = np.random.default_rng(32).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima over the set; the halves of the shingles' hashes feed one half of them each."""
+    """HASHES minima over the set, 16 bits of each; the halves of the shingles' hashes feed one half of them each.
+
+    Two unlike minima agree in 16 bits once in 65,536 times, which only lets a few more pairs be verified.
+    """
     low, high = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     half, out = HASHES // 2, np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(low), 4096):
         for words, own in ((low, slice(0, half)), (high, slice(half, HASHES))):
             part = ((words[a : a + 4096] ^ _MASKS[own][:, None]) * _FACTORS[own][:, None]).min(1)
             out[own] = np.minimum(out[own], part)
-    return out
+    return (out ^ (out >> np.uint32(16))).astype(np.uint16)
 
 
 def set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -82,11 +88,18 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """node and key of the bands in which the class shares a bucket with another one, with the bucket's least and largest node."""
-    width = 4 * ROWS
+    """node, n and key of the bands in which the class shares a bucket with another one, with the bucket's pivots.
+
+    A pivot is the member nearest to a mask, by exclusive or; masks differ by bucket, so a group of near
+    copies meets different members in different buckets.
+    """
+    width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    rows = reps.select("node", F.explode(keys).alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    rows = reps.select("node", "n", F.explode(keys).alias("key"))
+    mask = [F.xxhash64("key", F.lit(i)) for i in range(PIVOTS)]
+    nearest = [F.min(F.col("node").bitwiseXOR(m)).alias(f"_p{i}") for i, m in enumerate(mask)]
+    buckets = rows.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), *nearest).where("_lo <> _hi")
+    buckets = buckets.select("key", F.array_distinct(F.array(*[F.col(f"_p{i}").bitwiseXOR(m) for i, m in enumerate(mask)])).alias("pivots"))
     return rows.join(buckets, "key")
 
 
@@ -113,8 +126,8 @@ def _likely(one: Column, two: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
-        left = np.frombuffer(b"".join(a), np.uint32).reshape(-1, HASHES)
-        right = np.frombuffer(b"".join(b), np.uint32).reshape(-1, HASHES)
+        left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
+        right = np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES)
         alive, seen, before = np.arange(len(left)), np.zeros(len(left), np.int64), 0
         for n, least in rule:
             seen = seen + (left[alive, before:n] == right[alive, before:n]).sum(1)
@@ -161,29 +174,92 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def _across(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose classes are in different components; the largest one's members don't start any."""
-    of = live.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    of = written(of, "bucket-labels")
-    sizes = of.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-    open_rows = of.join(mixed, "key")
-    few = open_rows.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    every = open_rows.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"), "largest")
-    pairs = few.join(every, "key").where("label_x <> label_y AND (x < y OR label_y = largest)")
+def _open_rows(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, n, key, label, and the bucket's largest label and rows, of the buckets that hold several components."""
+    of = written(live.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "bucket-labels")
+    sizes = of.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("n_label").alias("members"))
+    return of.join(mixed.where("labels > 1").drop("labels"), "key")
+
+
+def _across_small(rows: DataFrame) -> DataFrame:
+    """Pairs of a small bucket, of sizes that can be similar, whose classes are in different components."""
+    few = rows.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"))
+    every = rows.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), "largest")
+    fit = 100 * F.least("n_x", "n_y") >= LIMIT * F.greatest("n_x", "n_y")
+    pairs = few.join(every, "key").where(F.expr("label_x <> label_y AND (x < y OR label_y = largest)") & fit)
     return _ordered(pairs.select("x", "y"))
 
 
+def _symmetric(one: str, two: str) -> Column:
+    return F.concat(F.array_except(one, two), F.array_except(two, one))
+
+
+def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and pairs still to verify, of the classes of large buckets.
+
+    Buckets with one largest component form a group. D(x) is the difference of x's set from a common set:
+    first that of one member, then corrected by the elements that over half of the group's differences
+    share. With w = 100 + LIMIT, v = 100 - LIMIT and g(x) = w * |D(x)| - v * |x|, classes x and y are linked
+    exactly if g(x) + g(y) <= 2 * w * |D(x) & D(y)|. Let z have the least g. Every x meets z. An x that isn't
+    linked to z has g(x) + g(z) > 0, so it shares at least (g(x) + g(y)) / 2w > 0 elements with any y that it
+    is linked to. An edit puts several elements into the same classes' differences; elements with the same
+    sharers are one block, with its elements as weight. Blocks in the order of their frequency give the
+    usual prefix filter: x and y share one of their rarest blocks. The join on blocks compares weights of
+    common blocks and lets only pairs through whose overlap suffices.
+    """
+    w, v = 100 + LIMIT, 100 - LIMIT
+    group = written(rows.select(F.col("largest").alias("grp"), "node", "label").distinct(), "groups")
+    sets = written(_sets(docs, reps.join(group.select("node").distinct(), "node").select("node", "doc_id")), "sets")
+    anchors = group.groupBy("grp").agg(F.min("node").alias("anchor_node"), F.count("*").alias("members"))
+    anchor = anchors.join(sets.select(F.col("node").alias("anchor_node"), F.col("set").alias("anchor")), "anchor_node").select("grp", "anchor")
+    raw = group.join(sets, "node").join(anchor, "grp").select("grp", "node", "label", F.size("set").alias("n"), _symmetric("set", "anchor").alias("d"))
+    raw = written(raw, "differences")
+    often = raw.select("grp", F.explode("d").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("f")).join(anchors, "grp").where("2 * f > members")
+    common = anchors.join(often.groupBy("grp").agg(F.collect_list("e").alias("common")), "grp", "left").select("grp", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    diff = raw.join(common, "grp").select("grp", "node", "label", "n", _symmetric("d", "common").alias("d")).withColumn("g", w * F.size("d") - v * F.col("n"))
+    diff = written(diff, "differences")
+    center = diff.groupBy("grp").agg(F.min(F.struct("g", "node")).alias("z")).select("grp", F.col("z.g").alias("g_z"), F.col("z.node").alias("z"))
+    center = center.join(diff.select("grp", F.col("node").alias("z"), F.col("d").alias("d_z"), F.col("label").alias("label_z")), ["grp", "z"])
+    met = diff.join(center, "grp").withColumn("linked", 2 * w * F.size(F.array_intersect("d", "d_z")) >= F.col("g") + F.col("g_z"))
+    met = written(met.drop("d_z"), "met")
+    links = met.where("linked AND node <> z").select(F.least("node", "z").alias("a"), F.greatest("node", "z").alias("b"))
+
+    need = lambda total: F.ceil(total / F.lit(2 * w))
+    elements = written(met.select("grp", "node", F.explode("d").alias("e")), "elements")
+    sharers = elements.groupBy("grp", "e").agg(F.count("*").alias("f"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who")).where("f > 1")
+    blocks = elements.join(sharers, ["grp", "e"]).groupBy("grp", "node", "f", "who").agg(F.count("*").alias("weight"))
+    # the weight, of 26 bits at most, stands in the block's name, so that common names give the overlap
+    blocks = blocks.withColumn("block", F.xxhash64("f", "who").bitwiseAND(F.lit(-(1 << 26))).bitwiseOR(F.col("weight")))
+    order = W.partitionBy("grp", "node").orderBy("f", "block")
+    after = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
+    held = F.collect_list("block").over(W.partitionBy("grp", "node"))
+    blocks = blocks.select("grp", "node", "f", "block", after.alias("after"), held.alias("blocks"))
+    starts = ~F.col("linked") & (F.col("label") != F.col("label_z"))
+    state = met.select("grp", "node", "label", "g", F.greatest(F.lit(1), need(F.col("g") - F.col("g_z"))).alias("any_one"), F.when(starts, need(F.col("g") + F.col("g_z"))).alias("as_start"))
+    # `after` elements are left from a block on: if they are too few, the first shared block can't be this one
+    blocks = written(blocks.join(state, ["grp", "node"]).where("after >= least(any_one, as_start)"), "blocks")
+    one = blocks.where("after >= as_start").select("grp", "block", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("g").alias("g_x"), F.col("after").alias("after_x"), F.col("blocks").alias("blocks_x"))
+    two = blocks.where("after >= any_one").select("grp", "block", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("g").alias("g_y"), F.col("after").alias("after_y"), F.col("blocks").alias("blocks_y"))
+    overlap = F.aggregate(F.array_intersect("blocks_x", "blocks_y"), F.lit(0).cast("long"), lambda a, b: a + b.bitwiseAND(F.lit((1 << 26) - 1)))
+    total = F.col("g_x") + F.col("g_y")
+    enough = (2 * w * F.least("after_x", "after_y") >= total) & (2 * w * overlap >= total)
+    return links, _ordered(one.join(two, ["grp", "block"]).where((F.col("label_x") != F.col("label_y")) & enough).select("x", "y"))
+
+
 def _linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node and label (least node of its component) of every document."""
     rows = written(signed(docs), "signed")
     reps = written(classes(rows), "classes")
     live = written(bands(reps), "bands")
-    tried = written(_ordered(live.select(F.col("node").alias("x"), F.col("lo").alias("y")).union(live.select(F.col("node").alias("x"), F.col("hi").alias("y")))), "pairs")
+    tried = written(_ordered(live.select(F.col("node").alias("x"), F.explode("pivots").alias("y"))), "pairs")
     edges = written(verified(docs, reps, tried), "links")
     labels = components(edges)
-    rest = written(_across(live, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(docs, reps, rest), "links")
+    mixed = written(_open_rows(live, labels), "open-buckets")
+    links, rest = _across_large(docs, reps, mixed.where(F.col("members") > SMALL))
+    rest = rest.union(_across_small(mixed.where(F.col("members") <= SMALL))).distinct()
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(docs, reps, rest).union(links), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
