@@ -53,6 +53,16 @@ def targets(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return w.select("source", "source_size", F.least(F.col("limit"), level * F.col("weight")).alias("target"))
 
 
+#: Rows (one a source, of a few numbers) up to which a table of sources is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def beside(rows: DataFrame, by_source: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of a row a source: a broadcast if that is small, so that no hot source is moved."""
+    small = by_source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return joined(rows, F.broadcast(by_source) if small else by_source, on, how)
+
+
 def thresholds(base: DataFrame, goals: DataFrame) -> DataFrame:
     """By source: whole, passes over all its documents, and cut: those with h < cut are taken once more.
 
@@ -63,9 +73,12 @@ def thresholds(base: DataFrame, goals: DataFrame) -> DataFrame:
     state = goals.withColumn("whole", whole).select("source", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.lit("").alias("prefix"))
     for start, digits in LEVELS:
         last = start == LEVELS[-1][0]
-        rows = joined(base, state.where("left > 0 AND prefix IS NOT NULL"), ["source"]).where(F.col("h").startswith(F.col("prefix")))
-        rows = rows.select("source", "prefix", "left", F.substring("h", start, digits).alias("bucket"), "size")
-        hist = rows.groupBy("source", "prefix", "left", "bucket").agg(F.sum("size").alias("in_bucket"))
+        goal = state.where("left > 0 AND prefix IS NOT NULL").select("source", "prefix", "left")
+        open_rows = base.withColumn("prefix", F.substring("h", 1, start - 1))
+        if start > 1:  # the first level counts all rows before it meets the budgets; later ones read one bucket a source
+            open_rows = beside(open_rows, goal.select("source", "prefix"), ["source", "prefix"], "left_semi")
+        hist = open_rows.groupBy("source", "prefix", F.substring("h", start, digits).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
+        hist = joined(hist, goal, ["source", "prefix"])
         order = W.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("upto", F.sum("in_bucket").over(order))
         at = hist.where("upto >= left").groupBy("source").agg(F.min(F.struct("bucket", "upto", "in_bucket", "prefix")).alias("b"))
@@ -76,6 +89,7 @@ def thresholds(base: DataFrame, goals: DataFrame) -> DataFrame:
             state = state.select("source", "whole", _cut(F.concat("b.prefix", "b.bucket"), take).alias("cut"))
         else:
             state = state.select("source", "whole", F.when(F.col("met"), left).otherwise(F.col("left")).alias("left"), F.when(F.col("met"), F.concat("b.prefix", "b.bucket")).alias("prefix"))
+            state = written(state, "mix-levels")
     return state
 
 
@@ -91,7 +105,8 @@ def mix(base: DataFrame) -> DataFrame:
     all, every target is 0.
     """
     goals = targets(base)
-    out = joined(joined(base, goals, ["source"]), thresholds(base, goals), ["source"])
+    goals = written(goals, "mix-targets")
+    out = beside(base, written(joined(goals, thresholds(base, goals), ["source"]), "mix-cuts"), ["source"])
     copies = F.col("whole") + F.coalesce((F.col("h") < F.col("cut")).cast("long"), F.lit(0))
     return out.select("doc_id", "source", "h", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
