@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as k
-from .common import internal, joined, table, written
+from .common import internal, joined, table
 from .sharding import numbered
 
 LEAST = 50
@@ -107,8 +107,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     have one line and lose none.
     """
     rows = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")).mapInArrow(_read, _ROWS)
-    lines, _ = numbered(rows, ["doc_id", "text_hash"])
-    lines = written(lines, "lines")
+    lines, _ = numbered(rows, ["doc_id", "text_hash"])  # written there; numbers come by a broadcast join
     at = lines.select("row_number", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("row_number", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
     firsts = at.groupBy("key").agg(F.min(F.struct("row_number", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.row_number").alias("first"), F.col("first.start").alias("first_start"))
     met = at.join(firsts, "key").where("row_number <> first OR start <> first_start")
