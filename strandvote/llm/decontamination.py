@@ -4,9 +4,11 @@ A CGK walk reads a word sequence and copies the word under its pointer at each s
 pointer moves on is a random bit of the step and the word. Walks over similar sequences fall into step
 again after an edit, so edit distance becomes Hamming distance of the copies. Each table samples a few
 steps of a walk; its key is the hash of the words copied there. Walks start at every word of every
-document and at every STRIDE-th word of an item. The number of tables is raised until copies of the
-items with the most edits allowed are found with the recall asked for. Every candidate is verified by
-its exact edit distance.
+document, at every word of an item of under CLASSES[-1] words and at every STRIDE-th word of a longer one.
+Tables are added until copies with the most edits allowed are found with the recall asked for in every
+class of lengths. A class that doesn't get there, and items of under SHORT words, are searched by pieces
+instead: of one piece more than edits are allowed, one stands unchanged in the passage, so none is missed.
+Every candidate is verified by its exact edit distance.
 """
 
 from __future__ import annotations
@@ -27,22 +29,43 @@ LEAST_WORDS, EDITS, RECALL = 8, 0.2, 0.98
 #: Words that a walk spans, sampled steps a key, tables a walk, distance of walks over an item, items a block.
 SPAN, SAMPLED, PER_WALK, STRIDE, BLOCK = 16, 6, 6, 3, 20_000
 MOST_TABLES, CHUNK = 30, 1 << 15
+#: Items of fewer words go by pieces. Least words of the classes whose recall is measured, by COPIES copies of each.
+SHORT, CLASSES, COPIES = 25, (25, 30, 40, 60, 100), 600
+
+
+@dataclass
+class Keys:
+    """Sorted keys with their item and offset, and a bit map of the keys' first bits."""
+
+    key: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    bits: int
+    seen: np.ndarray
+
+    def matches(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of row with a key, the item of it and its offset, one for each match."""
+        at = np.flatnonzero(self.seen.take((row >> np.uint64(64 - self.bits)).view(np.int64)))
+        lo, hi = np.searchsorted(self.key, row[at], "left"), np.searchsorted(self.key, row[at], "right")
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.item[entry], self.offset[entry]
 
 
 @dataclass
 class Index:
-    """Items' ids and word hashes, the tables' sampled steps, and by table the sorted keys with their item and offset."""
+    """Items' ids and word hashes, the tables' sampled steps and keys, and the keys of pieces by their words.
+
+    recall: that of the walks by class of lengths, measured on copies other than those that chose the tables.
+    """
 
     ids: list
     items: list[np.ndarray]
     steps: int
     samples: np.ndarray
-    keys: list[np.ndarray]
-    item: list[np.ndarray]
-    offset: list[np.ndarray]
-    bits: int
-    seen: list[np.ndarray]
-    recall: float
+    tables: list[Keys]
+    pieces: dict[int, Keys]
+    recall: dict[int, float]
 
 
 def allowed(n: int) -> int:
@@ -89,20 +112,49 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, np.uint64)
 
 
-def _measured(items: list[np.ndarray], steps: int, samples: np.ndarray) -> np.ndarray:
-    """By item (at most 200 of them) and table: does a copy with as many edits as allowed share a key with it?"""
-    rng = np.random.default_rng(13)
-    found = []
-    for words in items[:: max(1, len(items) // 200)][:200]:
-        copy = np.concatenate((rng.integers(1, 1 << 63, SPAN, dtype=np.uint64), _edited(words, allowed(len(words)), rng), rng.integers(1, 1 << 63, SPAN, dtype=np.uint64)))
-        a, b = walk_keys(words, steps, samples)[:, _starts(len(words), steps)], walk_keys(copy, steps, samples)
-        found.append([np.isin(x, y).any() for x, y in zip(a, b, strict=True)])
-    return np.array(found, bool)
+def _class(n: int) -> int:
+    """The least words of the class of lengths that n is in."""
+    return max(c for c in CLASSES if c <= n)
+
+
+def _measured(items: list[np.ndarray], steps: int, samples: np.ndarray, seed: int) -> np.ndarray:
+    """By copy (COPIES, of the items in turn) and table: does a copy with as many edits as allowed share a key with its item?"""
+    rng = np.random.default_rng(seed)
+    noise = lambda: rng.integers(1, 1 << 63, 2 * SPAN, dtype=np.uint64)
+    own = [items[i] for i in rng.permutation(len(items))[: COPIES // 4]]
+    theirs = [walk_keys(words, steps, samples)[:, _starts(len(words), steps)] for words in own]
+    copies = [np.concatenate((_edited(words, allowed(len(words)), rng), noise())) for words in (own * COPIES)[:COPIES]]
+    keys = walk_keys(np.concatenate((noise(), *copies)), steps, samples)
+    # each copy's keys are marked with its number, so that one search a table serves all copies
+    mark = lambda sizes: k.mix(np.repeat(np.arange(1, COPIES + 1), sizes).astype(np.uint64))
+    copy_of = mark([len(x) for x in copies])
+    keys = keys[:, SPAN : SPAN + len(copy_of)] ^ copy_of
+    theirs = (theirs * COPIES)[:COPIES]
+    sizes = [x.shape[1] for x in theirs]
+    first = np.cumsum([0, *sizes[:-1]])
+    own_keys = np.concatenate(theirs, axis=1) ^ mark(sizes)
+    return np.stack([np.logical_or.reduceat(np.isin(x, y), first) for x, y in zip(own_keys, keys, strict=True)], 1)
 
 
 def _starts(n: int, steps: int) -> np.ndarray:
     """Places of an item from which a walk, at half a word a step, stays inside it."""
-    return np.arange(0, max(1, n - int(steps / 1.7) + 1), STRIDE)
+    return np.arange(0, max(1, n - int(steps / 1.7) + 1), 1 if n < CLASSES[-1] else STRIDE)
+
+
+def _pieces(n: int) -> np.ndarray:
+    """Bounds of one piece more than edits are allowed in n words."""
+    return np.linspace(0, n, allowed(n) + 2).astype(int)
+
+
+def _keys(found: list[tuple[np.ndarray, int, np.ndarray]]) -> Keys:
+    """Keys of (keys, item, offsets) of items."""
+    key, at = (np.concatenate([x[i] for x in found]) for i in (0, 2))
+    owner = np.repeat([x[1] for x in found], [len(x[0]) for x in found])
+    order = np.argsort(key, kind="stable")
+    bits = min(26, max(16, int(np.ceil(np.log2(len(key) + 1))) + 7))
+    seen = np.zeros(1 << bits, bool)
+    seen[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return Keys(key[order], owner[order], at[order], bits, seen)
 
 
 def build(ids: list, texts: list[str | None], recall: float = RECALL) -> Index | None:
@@ -116,43 +168,59 @@ def build(ids: list, texts: list[str | None], recall: float = RECALL) -> Index |
     ids, items = zip(*[(i, x) for i, x in zip(ids, items, strict=True) if len(x) >= LEAST_WORDS], strict=True) if any(len(x) >= LEAST_WORDS for x in items) else ((), ())
     if not items:
         return None
-    steps = int(1.7 * min(SPAN, min(map(len, items))))
-    hits = _measured(list(items), steps, _tables(steps, MOST_TABLES))
-    reached = [hits[:, :n].any(1).mean() for n in range(1, MOST_TABLES + 1)]
-    tables = next((n for n in range(PER_WALK, MOST_TABLES + 1, PER_WALK) if reached[n - 1] >= recall), MOST_TABLES)
-    samples = _tables(steps, MOST_TABLES)[:tables]
-    found: list[tuple[list, list, list]] = [([], [], []) for _ in range(tables)]
+    steps, samples = int(1.7 * SPAN), _tables(int(1.7 * SPAN), MOST_TABLES)
+    by_class: dict[int, list[np.ndarray]] = {}
+    for words in items:
+        if len(words) >= SHORT:
+            by_class.setdefault(_class(len(words)), []).append(words)
+    hits = {c: _measured(own, steps, samples, 13) for c, own in by_class.items()}
+    tables, least = 0, recall + 2 * (recall * (1 - recall) / COPIES) ** 0.5  # two standard errors above the target
+    for c in list(hits):  # the fewest tables that serve a class; one that no number serves goes by pieces
+        need = next((n for n in range(PER_WALK, MOST_TABLES + 1, PER_WALK) if hits[c][:, :n].any(1).mean() >= min(1.0, least)), None)
+        if need is None:
+            del hits[c]
+        else:
+            tables = max(tables, need)
+    samples = samples[:tables]
+    walked: list[list] = [[] for _ in range(tables)]
+    cut: dict[int, list] = {}
     for i, words in enumerate(items):
-        at = _starts(len(words), steps)
-        for t, row in enumerate(walk_keys(words, steps, samples)[:, at]):
-            found[t][0].append(row)
-            found[t][1].append(np.full(len(at), i))
-            found[t][2].append(at)
-    keys, item, offset, seen = [], [], [], []
-    bits = min(26, max(16, int(np.ceil(np.log2(sum(map(len, found[0][0])) + 1))) + 7))
-    for parts in found:
-        key, owner, at = map(np.concatenate, parts)
-        order = np.argsort(key, kind="stable")
-        keys.append(key[order])
-        item.append(owner[order])
-        offset.append(at[order])
-        mark = np.zeros(1 << bits, bool)
-        mark[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
-        seen.append(mark)
-    return Index(list(ids), list(items), steps, samples, keys, item, offset, bits, seen, float(reached[tables - 1]))
+        if len(words) >= SHORT and _class(len(words)) in hits:
+            at = _starts(len(words), steps)
+            for t, row in enumerate(walk_keys(words, steps, samples)[:, at]):
+                walked[t].append((row, i, at))
+        else:
+            bounds = _pieces(len(words))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                cut.setdefault(int(b - a), []).append((k.windows(words[a:b], int(b - a))[:1], i, np.array([a])))
+    held_out = {c: float(_measured(by_class[c], steps, samples, 17).any(1).mean()) for c in sorted(hits)}
+    return Index(list(ids), list(items), steps, samples, [_keys(x) for x in walked], {n: _keys(x) for n, x in cut.items()}, held_out)
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
 def candidates(index: Index, hashes: np.ndarray) -> np.ndarray:
-    """Distinct (item, word at which it would begin) of all keys that hashes share with the index."""
+    """Distinct (item, word at which it would begin) of all keys of walks that hashes share with the index."""
     out = []
-    for t, row in enumerate(walk_keys(hashes, index.steps, index.samples)):
-        at = np.flatnonzero(index.seen[t].take((row >> np.uint64(64 - index.bits)).view(np.int64)))
-        lo, hi = np.searchsorted(index.keys[t], row[at], "left"), np.searchsorted(index.keys[t], row[at], "right")
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    for keys, row in zip(index.tables, walk_keys(hashes, index.steps, index.samples) if index.tables else (), strict=True):
+        at, item, offset = keys.matches(row)
         if len(at):
-            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.stack((index.item[t][entry], np.repeat(at, n) - index.offset[t][entry]), 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.append(np.stack((item, at - offset), 1))
+    return _distinct(out)
+
+
+def piece_candidates(index: Index, w: k.Words) -> np.ndarray:
+    """Distinct (item, word at which it would begin, text) of all pieces that stand in a text."""
+    out, left = [], w.left() if index.pieces else None
+    for n, keys in index.pieces.items():
+        at, item, offset = keys.matches(k.windows(w.hash, n))
+        inside = left[at] >= n
+        at, item, offset = at[inside], item[inside], offset[inside]
+        if len(at):
+            out.append(np.stack((item, at - offset, np.searchsorted(w.first, at, "right") - 1), 1))
+    return _distinct(out)
 
 
 def best_edits(pattern: list[int], text: list[int]) -> int:
@@ -178,6 +246,25 @@ def best_edits(pattern: list[int], text: list[int]) -> int:
 def leaks(index: Index, w: k.Words) -> list[dict[int, int]]:
     """By text: the items that it holds, with their least edits."""
     out: list[dict[int, int]] = [{} for _ in range(len(w.first) - 1)]
+
+    def verify(t: int, i: int, at: int, spare: int) -> None:
+        if out[t].get(i) == 0:
+            return
+        words = index.items[i]
+        slack = allowed(len(words))
+        a, b = max(w.first[t], at - slack - spare), min(w.first[t + 1], at + len(words) + slack + spare)
+        if b - a < len(words) - slack:
+            return
+        pattern, text = words.tolist(), w.hash[a:b].tolist()
+        here = set(text)
+        if sum(x not in here for x in pattern) > slack:  # a word that isn't there is an edit
+            return
+        edits = best_edits(pattern, text)
+        if edits <= slack:
+            out[t][i] = min(edits, out[t].get(i, edits))
+
+    for i, at, t in piece_candidates(index, w).tolist():
+        verify(t, i, at, 0)
     found = candidates(index, w.hash)
     if not len(found):
         return out
@@ -187,16 +274,7 @@ def leaks(index: Index, w: k.Words) -> list[dict[int, int]]:
     sides = [np.searchsorted(w.first, np.clip(at, 0, last), "right") - 1 for at in (found[:, 1], found[:, 1] + size // 2, found[:, 1] + size - 1)]
     for (i, at), texts in zip(found.tolist(), np.stack(sides, 1).tolist(), strict=True):
         for t in set(texts):
-            if out[t].get(i) == 0:
-                continue
-            words = index.items[i]
-            slack = allowed(len(words))
-            a, b = max(w.first[t], at - slack - SPAN), min(w.first[t + 1], at + len(words) + slack + SPAN)
-            if b - a < len(words) - slack:
-                continue
-            edits = best_edits(words.tolist(), w.hash[a:b].tolist())
-            if edits <= slack:
-                out[t][i] = min(edits, out[t].get(i, edits))
+            verify(t, i, at, SPAN)
     return out
 
 
