@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import kernels as k
 from .common import internal, table
 
-#: Items of fewer words are too common to show a leak. A passage may have one edit for each 1 / EDITS words.
-LEAST_WORDS, EDITS, RECALL = 8, 0.2, 0.98
+#: A passage may have one edit for each 1 / EDITS words of its item, so items of under 5 words are found verbatim only.
+EDITS, RECALL = 0.2, 0.98
 #: Words that a walk spans, sampled steps a key, tables a walk, distance of walks over an item, items a block.
 SPAN, SAMPLED, PER_WALK, STRIDE, BLOCK = 16, 6, 6, 3, 20_000
 MOST_TABLES, CHUNK = 30, 1 << 15
@@ -158,14 +158,15 @@ def _keys(found: list[tuple[np.ndarray, int, np.ndarray]]) -> Keys:
 
 
 def build(ids: list, texts: list[str | None], recall: float = RECALL) -> Index | None:
-    """An index of items; those of under LEAST_WORDS words are left out. None if no item is left."""
+    """An index of the items that hold a word. None if there is none."""
     if not texts:
         return None
     items = []
     for part in k.slices(pa.array(texts, pa.string())):
         w = k.words(part, k.NOT_ALNUM, lower=True)
         items += [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(part))]
-    ids, items = zip(*[(i, x) for i, x in zip(ids, items, strict=True) if len(x) >= LEAST_WORDS], strict=True) if any(len(x) >= LEAST_WORDS for x in items) else ((), ())
+    some = [(i, x) for i, x in zip(ids, items, strict=True) if len(x)]
+    ids, items = [i for i, _ in some], [x for _, x in some]
     if not items:
         return None
     steps, samples = int(1.7 * SPAN), _tables(int(1.7 * SPAN), MOST_TABLES)
@@ -194,7 +195,7 @@ def build(ids: list, texts: list[str | None], recall: float = RECALL) -> Index |
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 cut.setdefault(int(b - a), []).append((k.windows(words[a:b], int(b - a))[:1], i, np.array([a])))
     held_out = {c: float(_measured(by_class[c], steps, samples, 17).any(1).mean()) for c in sorted(hits)}
-    return Index(list(ids), list(items), steps, samples, [_keys(x) for x in walked], {n: _keys(x) for n, x in cut.items()}, held_out)
+    return Index(ids, items, steps, samples, [_keys(x) for x in walked], {n: _keys(x) for n, x in cut.items()}, held_out)
 
 
 def _distinct(found: list[np.ndarray]) -> np.ndarray:
@@ -315,8 +316,8 @@ def indexes(benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) ->
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text (in lower case) and hits: the items whose wording stands in the text with few enough edits, and the edits.
 
-    Null and empty texts have no hits; null items and those of under LEAST_WORDS words are never found; an
-    item that is given twice is reported twice.
+    Null and empty texts have no hits; null items and those without a word are never found; an item that is
+    given twice is reported twice.
     """
     out = docs.select("doc_id", F.lower("text").alias("text")).withColumn("hits", F.array().cast("array<struct<item_id: long, edits: long>>"))
     for index in indexes(benchmark):

@@ -20,3 +20,12 @@ def test_edited_copies_are_found_at_every_length(n, least):
     hashes, first = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
     found = decontamination.leaks(index, k.Words(np.arange(len(hashes)), np.arange(len(hashes)), hashes, first))
     assert np.mean([i % 8 in x for i, x in enumerate(found)]) >= least
+
+
+def test_short_items_are_found(spark, make):
+    """One of 8 words doesn't weaken the search of others; 5 to 7 words allow one edit, fewer none."""
+    items = [(1, "zeta"), (2, "alpha beta gamma"), (3, "k l m n o p q"), (4, "one two three four five six seven eight"), (5, "?!"), (6, " ".join(f"v{i}" for i in range(60)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([(1, "x Zeta y"), (2, "alpha, beta gamma"), (3, "alpha beta x gamma"), (4, "a k l m x o p q b"), (5, "k l x n y p q"), (6, "one two three four five six seven nine"), (7, "?!"), (8, items[5][1])])
+    hits = {r["doc_id"]: [(h["item_id"], h["edits"]) for h in r["hits"]] for r in decontamination.find(docs, benchmark).collect()}
+    assert hits == {1: [(1, 0)], 2: [(2, 0)], 3: [], 4: [(3, 1)], 5: [], 6: [(4, 1)], 7: [], 8: [(6, 0)]}
