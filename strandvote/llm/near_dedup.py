@@ -4,7 +4,7 @@ Documents with one shingle set form a class, so exact copies cost one row each.
 min-hashes; bands of ROWS of them propose candidates. Within a band's bucket each class first meets
 two members only, which links nearly all of a group of near copies; then only classes of different
 components meet, and those of a bucket's largest component don't meet each other. A candidate pair is
-dropped as soon as the posterior probability of a similarity of LIMIT falls below MISS, looking at BATCH
+dropped as soon as the posterior probability of a similarity of the limit falls below MISS, looking at BATCH
 hashes at a time; survivors are verified on their full shingle sets.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,27 +26,42 @@ from .common import internal, joined, table, written
 from .components import components
 
 WORDS = 5
-#: Similarity, in hundredths, from which documents are linked.
-LIMIT = 85
-#: 40 bands of 8 rows miss a pair at the limit with probability (1 - 0.85 ** 8) ** 40 = 3e-6, and few pairs far below it meet.
-BANDS, ROWS, PIVOTS = 40, 8, 2
-HASHES, BATCH, MISS = BANDS * ROWS, 32, 1e-6
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Similarity, in hundredths, from which documents are linked, and the bands and rows that find them."""
+
+    limit: int
+    bands: int
+    rows: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+
+#: 40 bands of 8 rows miss a pair at 0.85 with probability (1 - 0.85 ** 8) ** 40 = 3e-6, and few pairs far below it
+#: meet; 54 of 7 miss one at 0.8, the limit of a pipeline's stage on word shingles, as rarely.
+OP5, STAGE = Rule(85, 40, 8), Rule(80, 54, 7)
+PIVOTS = 2
+HASHES, BATCH, MISS = OP5.hashes, 32, 1e-6
 #: Classes of a bucket that are paired with each other directly.
 SMALL = 24
 
-_MASKS = np.random.default_rng(31).integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_FACTORS = np.random.default_rng(32).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_MASKS = np.random.default_rng(31).integers(0, 1 << 32, max(HASHES, STAGE.hashes), dtype=np.uint32)
+_FACTORS = np.random.default_rng(32).integers(0, 1 << 32, max(HASHES, STAGE.hashes), dtype=np.uint32) | np.uint32(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima over the set, 16 bits of each; the halves of the shingles' hashes feed one half of them each.
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """So many minima over the set, 16 bits of each; the halves of the shingles' hashes feed one half of them each.
 
     Two unlike minima agree in 16 bits once in 65,536 times, which only lets a few more pairs be verified.
     """
     low, high = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    half, out = HASHES // 2, np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    half, out = hashes // 2, np.full(hashes, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(low), 4096):
-        for words, own in ((low, slice(0, half)), (high, slice(half, HASHES))):
+        for words, own in ((low, slice(0, half)), (high, slice(half, hashes))):
             part = ((words[a : a + 4096] ^ _MASKS[own][:, None]) * _FACTORS[own][:, None]).min(1)
             out[own] = np.minimum(out[own], part)
     return (out ^ (out >> np.uint32(16))).astype(np.uint16)
@@ -62,21 +78,21 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 _SIGNED = "doc_id long, n_shingles long, node long, second long, sig binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in k.slices(batch.column("text")):
-            w = k.words(part, lower=True)
-            window = k.windows(w.hash, WORDS)
-            sets = [k.shingles(w, i, window, WORDS) for i in range(len(part))]
-            pairs = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
-            sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), *columns], ["doc_id", "n_shingles", "node", "second", "sig"])
+def signed(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the shingle set), second (another hash of it) and sig, of every whole text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in k.slices(batch.column("text")):
+                w = k.words(part, lower=True)
+                window = k.windows(w.hash, WORDS)
+                sets = [k.shingles(w, i, window, WORDS) for i in range(len(part))]
+                pairs = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
+                sigs = [signature(s, rule.hashes).tobytes() if len(s) else None for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), *columns], ["doc_id", "n_shingles", "node", "second", "sig"])
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the shingle set), second (another hash of it) and sig, of every whole text."""
-    return internal(docs, "doc_id", "text").mapInArrow(_sign, _SIGNED)
+    return internal(docs, "doc_id", "text").mapInArrow(run, _SIGNED)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -87,14 +103,14 @@ def classes(rows: DataFrame) -> DataFrame:
     return out.where(F.when(F.col("_least") == F.col("_most"), True).otherwise(F.raise_error(F.lit("two shingle sets share a hash; change the seed")).cast("boolean"))).drop("_least", "_most")
 
 
-def bands(reps: DataFrame) -> DataFrame:
+def bands(reps: DataFrame, rule: Rule = OP5) -> DataFrame:
     """node, n and key of the bands in which the class shares a bucket with another one, with the bucket's pivots.
 
     A pivot is the member nearest to a mask, by exclusive or; masks differ by bucket, so a group of near
     copies meets different members in different buckets.
     """
-    width = 2 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+    width = 2 * rule.rows
+    keys = F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
     rows = reps.select("node", "n", F.explode(keys).alias("key"))
     mask = [F.xxhash64("key", F.lit(i)) for i in range(PIVOTS)]
     nearest = [F.min(F.col("node").bitwiseXOR(m)).alias(f"_p{i}") for i, m in enumerate(mask)]
@@ -103,7 +119,7 @@ def bands(reps: DataFrame) -> DataFrame:
     return rows.join(buckets, "key")
 
 
-def least_matches(limit: float = LIMIT / 100, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
+def least_matches(limit: float = OP5.limit / 100, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
     """(hashes seen, least matches) by batch: with fewer matches, P(similarity >= limit) < miss.
 
     The prior is uniform, so the posterior is a beta distribution and its tail a binomial sum.
@@ -121,15 +137,15 @@ def least_matches(limit: float = LIMIT / 100, miss: float = MISS, hashes: int =
     return out
 
 
-def _likely(one: Column, two: Column) -> Column:
-    rule = least_matches()
+def _likely(one: Column, two: Column, rule: Rule) -> Column:
+    least_by_batch = least_matches(rule.limit / 100, hashes=rule.hashes)
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
-        left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
-        right = np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES)
+        left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, rule.hashes)
+        right = np.frombuffer(b"".join(b), np.uint16).reshape(-1, rule.hashes)
         alive, seen, before = np.arange(len(left)), np.zeros(len(left), np.int64), 0
-        for n, least in rule:
+        for n, least in least_by_batch:
             seen = seen + (left[alive, before:n] == right[alive, before:n]).sum(1)
             alive, seen, before = alive[seen >= least], seen[seen >= least], n
         out = np.zeros(len(left), bool)
@@ -156,18 +172,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     one = reps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     # sets whose sizes differ too much can't be similar
-    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= LIMIT * F.greatest("n_a", "n_b"))
-    near = written(near.where(_likely(F.col("sig_a"), F.col("sig_b"))).select("a", "b", "n_a", "n_b"), "survivors")
+    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= rule.limit * F.greatest("n_a", "n_b"))
+    near = written(near.where(_likely(F.col("sig_a"), F.col("sig_b"), rule)).select("a", "b", "n_a", "n_b"), "survivors")
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = written(_sets(docs, reps.join(nodes, "node").select("node", "doc_id")), "sets")
     both = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * shared >= LIMIT * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    return both.where(100 * shared >= rule.limit * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -182,11 +198,11 @@ def _open_rows(live: DataFrame, labels: DataFrame) -> DataFrame:
     return of.join(mixed.where("labels > 1").drop("labels"), "key")
 
 
-def _across_small(rows: DataFrame) -> DataFrame:
+def _across_small(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of a small bucket, of sizes that can be similar, whose classes are in different components."""
     few = rows.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"))
     every = rows.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), "largest")
-    fit = 100 * F.least("n_x", "n_y") >= LIMIT * F.greatest("n_x", "n_y")
+    fit = 100 * F.least("n_x", "n_y") >= rule.limit * F.greatest("n_x", "n_y")
     pairs = few.join(every, "key").where(F.expr("label_x <> label_y AND (x < y OR label_y = largest)") & fit)
     return _ordered(pairs.select("x", "y"))
 
@@ -195,12 +211,12 @@ def _symmetric(one: str, two: str) -> Column:
     return F.concat(F.array_except(one, two), F.array_except(two, one))
 
 
-def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b), and pairs still to verify, of the classes of large buckets.
 
     Buckets with one largest component form a group. D(x) is the difference of x's set from a common set:
     first that of one member, then corrected by the elements that over half of the group's differences
-    share. With w = 100 + LIMIT, v = 100 - LIMIT and g(x) = w * |D(x)| - v * |x|, classes x and y are linked
+    share. With w = 100 + limit, v = 100 - limit and g(x) = w * |D(x)| - v * |x|, classes x and y are linked
     exactly if g(x) + g(y) <= 2 * w * |D(x) & D(y)|. Let z have the least g. Every x meets z. An x that isn't
     linked to z has g(x) + g(z) > 0, so it shares at least (g(x) + g(y)) / 2w > 0 elements with any y that it
     is linked to. An edit puts several elements into the same classes' differences; elements with the same
@@ -208,7 +224,7 @@ def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> tuple[Da
     usual prefix filter: x and y share one of their rarest blocks. The join on blocks compares weights of
     common blocks and lets only pairs through whose overlap suffices.
     """
-    w, v = 100 + LIMIT, 100 - LIMIT
+    w, v = 100 + rule.limit, 100 - rule.limit
     group = written(rows.select(F.col("largest").alias("grp"), "node", "label").distinct(), "groups")
     sets = written(_sets(docs, reps.join(group.select("node").distinct(), "node").select("node", "doc_id")), "sets")
     anchors = group.groupBy("grp").agg(F.min("node").alias("anchor_node"), F.count("*").alias("members"))
@@ -247,32 +263,32 @@ def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> tuple[Da
     return links, _ordered(one.join(two, ["grp", "block"]).where((F.col("label_x") != F.col("label_y")) & enough).select("x", "y"))
 
 
-def _linked(docs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, node and label (least node of its component) of every document."""
-    rows = written(signed(docs), "signed")
+    rows = written(signed(docs, rule), "signed")
     reps = written(classes(rows), "classes")
-    live = written(bands(reps), "bands")
+    live = written(bands(reps, rule), "bands")
     tried = written(_ordered(live.select(F.col("node").alias("x"), F.explode("pivots").alias("y"))), "pairs")
-    edges = written(verified(docs, reps, tried), "links")
+    edges = written(verified(docs, reps, tried, rule), "links")
     labels = components(edges)
     mixed = written(_open_rows(live, labels), "open-buckets")
-    links, rest = _across_large(docs, reps, mixed.where(F.col("members") > SMALL))
-    rest = rest.union(_across_small(mixed.where(F.col("members") <= SMALL))).distinct()
+    links, rest = _across_large(docs, reps, mixed.where(F.col("members") > SMALL), rule)
+    rest = rest.union(_across_small(mixed.where(F.col("members") <= SMALL), rule)).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(docs, reps, rest).union(links), "links")
+    more = written(verified(docs, reps, rest, rule).union(links), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row a document.
 
     Null and empty texts and texts without a word have no shingle and stay alone. A null doc_id has no say
     in component_id; if a whole component has no id, component_id is null and its rows are kept. Rows with
     one doc_id and different texts are rows of their own.
     """
-    rows = _linked(docs)
+    rows = _linked(docs, rule)
     least = rows.where("n_shingles > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, (F.col("label") == F.col("_label")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -297,13 +313,13 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return blank.mapInArrow(run, blank.schema)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """One row of each group, with the columns of docs: the one of its smallest doc_id, then of its least set hash.
 
     Of rows that are equal in both one is left; texts without a word are kept, all of them.
     """
     names, order = docs.columns, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
-    best = _linked(docs).where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("best"))
+    best = _linked(docs, rule).where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("best"))
     best = written(best.select("best.doc_id", F.col("best.node").alias("_node")), "kept")
     tagged = _tagged(docs)
     first = joined(tagged.where("_node IS NOT NULL"), best, ["doc_id", "_node"], "left_semi")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
-from strandvote.llm import decontamination
+import corpus_pipeline
+from strandvote.llm import decontamination, near_dedup
 from strandvote.llm import kernels as k
 
 
@@ -29,3 +32,16 @@ def test_short_items_are_found(spark, make):
     docs = make([(1, "x Zeta y"), (2, "alpha, beta gamma"), (3, "alpha beta x gamma"), (4, "a k l m x o p q b"), (5, "k l x n y p q"), (6, "one two three four five six seven nine"), (7, "?!"), (8, items[5][1])])
     hits = {r["doc_id"]: [(h["item_id"], h["edits"]) for h in r["hits"]] for r in decontamination.find(docs, benchmark).collect()}
     assert hits == {1: [(1, 0)], 2: [(2, 0)], 3: [], 4: [(3, 1)], 5: [], 6: [(4, 1)], 7: [], 8: [(6, 0)]}
+
+
+def test_stage_links_from_80_hundredths_on(spark, make):
+    """Pairs of similarity 0.80 to 0.85 are one document for the stage and two for op5; those below 0.8 are two."""
+    rng, rows, similar = random.Random(4), [], []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = 18 + i % 6  # of 200 shingles each, 200 - cut are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[cut:] + [f"n{rng.randrange(10**9)}" for _ in range(cut)]))]
+        similar.append(100 * (200 - cut) >= 80 * (200 + cut))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, make(rows), "").collect()}
+    assert 0 < sum(similar) < 40 and kept == {d for d in range(80) if d % 2 == 0 or not similar[d // 2]}
+    assert near_dedup.deduplicated(make(rows)).count() == 80
