@@ -1,11 +1,13 @@
-"""Line de-duplication by winnowing over line hashes.
+"""Line de-duplication by windows of line hashes.
 
 Lines are told apart by hash; lines without a word are passed over. A window is the shortest run of lines
-from a line on with at least LEAST words; its minimum line hash is its fingerprint. Any repeated run of
-LEAST words holds a whole window, whose fingerprint and content recur with it, so no such run is missed.
-Each window is joined with the first one of its fingerprint and content in the order of documents, one
-row and not a pair for each two of a group. A match is extended both ways over the two documents' line
-hashes, and the later copy of every run of at least LEAST words is deleted.
+from a line on, or up to a line, with at least LEAST words. A run of at least LEAST words that holds a line
+can be cut down to a window that still holds it: cut from both ends while LEAST words are left and the line
+stays. So the lines of runs that stand in an earlier place too are exactly those of windows that do,
+whichever earlier place it is. Each window is joined with the first one of its content in the order of
+documents, one row and not a pair for each two of a group, and the lines of all but the first are deleted.
+All windows are joined, by their whole content: a selection of minima would find each repeated run too, but
+would have to be extended along each earlier holder of it, since the first one may hold just a part.
 """
 
 from __future__ import annotations
@@ -13,11 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as k
 from .common import internal, joined, table
@@ -42,27 +42,23 @@ def line_table(part: k.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return text[some], number[some], k.span_hash(part.data, start[some], end[some]), n[some]
 
 
-def windows(text: np.ndarray, hashes: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Lines at which a whole window starts, and the window's key: its fingerprint and its content."""
+def windows(text: np.ndarray, hashes: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last, and content's hash of each window, in the order of lines."""
     size = len(hashes)
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.concatenate(([0], np.cumsum(n)))
     end = np.searchsorted(total, total[:-1] + least, "left")
-    text_end = np.searchsorted(text, text, "right")
-    at = np.flatnonzero(end <= text_end)
-    end = end[at]
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    down_from, up_to = np.flatnonzero(end <= np.searchsorted(text, text, "right")), np.flatnonzero(start >= np.searchsorted(text, text, "left"))
+    both = np.unique(np.concatenate((down_from * (size + 1) + end[down_from], start[up_to] * (size + 1) + up_to + 1)))
+    start, end = both // (size + 1), both % (size + 1)
     up, down = k._power_tables(size)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(k.mix(hashes) * up[:size])))
-    content = (prefix[end] - prefix[at]) * down[at]
-    fingerprint = hashes[at].copy()
-    for step in range(1, int((end - at).max()) if len(at) else 0):  # a line has a word, so a window has at most `least` lines
-        inside = at + step < end
-        fingerprint[inside] = np.minimum(fingerprint[inside], hashes[at[inside] + step])
-    return at, k.mix(content ^ k.mix(fingerprint + (end - at).astype(np.uint64)))
+    return start, end, (prefix[end] - prefix[start]) * down[start]
 
 
-_ROWS = "doc_id long, text_hash long, n_lines long, hashes array<long>, words array<int>, numbers array<int>, starts array<int>, keys array<long>"
+#: A window's place is its first line, its lines (a line has a word, so at most LEAST) and 26 more bits of its content.
+_LINES, _CHECK = 6, 26
+_ROWS = "doc_id long, text_hash long, n_lines long, words array<int>, numbers array<int>, places array<long>, keys array<long>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,35 +66,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in k.slices(batch.column("text")):
             text, number, hashes, n = line_table(part)
-            at, keys = windows(text, hashes, n)
+            start, end, content = windows(text, hashes, n)
             bounds = np.searchsorted(text, np.arange(len(part) + 1))
-            starts_of = np.searchsorted(text[at], np.arange(len(part) + 1))
+            starts_of = np.searchsorted(text[start], np.arange(len(part) + 1))
+            keys = k.mix(content ^ k.mix((end - start).astype(np.uint64)))
+            check = (k.mix(content + k.PLACE[0]) >> np.uint64(64 - _CHECK)).astype(np.int64)
+            places = ((start - bounds[text[start]]) << _LINES | end - start) << _CHECK | check
             by = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            columns = [
-                pa.array(part.per_text(part.data == 10) + 1), by(hashes.view(np.int64), bounds), by(n.astype(np.int32), bounds), by(number.astype(np.int32), bounds),
-                by((at - bounds[text[at]]).astype(np.int32), starts_of), by(keys.view(np.int64), starts_of),
-            ]
+            columns = [pa.array(part.per_text(part.data == 10) + 1), by(n.astype(np.int32), bounds), by(number.astype(np.int32), bounds), by(places, starts_of), by(keys.view(np.int64), starts_of)]
             first = [batch.column(c).slice(part.first, len(part)) for c in ("doc_id", "text_hash")]
             yield pa.RecordBatch.from_arrays([*first, *columns], names)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _repeated(later: pd.Series, words: pd.Series, first: pd.Series, shifts: pd.Series) -> pd.Series:
-    """Lines (by index in later) in runs of at least LEAST words that stand, shifted, in first too."""
-    out = []
-    for a, n, b, every in zip(later, words, first, shifts, strict=True):
-        gone = np.zeros(len(a), bool)
-        for shift in every:
-            lo, hi = max(0, shift), min(len(a), len(b) + shift)
-            same = np.concatenate(([False], a[lo:hi] == b[lo - shift : hi - shift], [False]))
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            for x, y in zip(edges[::2] + lo, edges[1::2] + lo, strict=True):
-                if n[x:y].sum() >= LEAST:
-                    gone[x:y] = True
-        out.append(np.flatnonzero(gone).astype(np.int32))
-    return pd.Series(out)
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_lines, removed (line numbers from 0, sorted) and words_removed, one row a document.
 
@@ -108,15 +87,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")).mapInArrow(_read, _ROWS)
     lines, _ = numbered(rows, ["doc_id", "text_hash"])  # written there; numbers come by a broadcast join
-    at = lines.select("row_number", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("row_number", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-    firsts = at.groupBy("key").agg(F.min(F.struct("row_number", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.row_number").alias("first"), F.col("first.start").alias("first_start"))
-    met = at.join(firsts, "key").where("row_number <> first OR start <> first_start")
-    met = met.select("row_number", "first", (F.col("start") - F.col("first_start")).alias("shift")).distinct()
-    met = met.groupBy("row_number", "first").agg(F.collect_list("shift").alias("shifts"))
-    own = lines.select("row_number", "hashes", "words")
-    both = met.join(own, "row_number").join(own.select(F.col("row_number").alias("first"), F.col("hashes").alias("hashes_first")), "first")
-    gone = both.select("row_number", _repeated("hashes", "words", "hashes_first", "shifts").alias("gone"))
-    gone = gone.groupBy("row_number").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    at = lines.select("row_number", F.explode(F.arrays_zip("places", "keys")).alias("w")).select("row_number", F.col("w.places").alias("place"), F.col("w.keys").alias("key"))
+    firsts = at.groupBy("key").agg(F.min(F.struct("row_number", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.row_number").alias("first"), F.col("first.place").alias("first_place"))
+    same = F.col("place").bitwiseXOR(F.col("first_place")).bitwiseAND(F.lit((1 << _CHECK) - 1)) == 0
+    met = at.join(firsts, "key").where(same & F.expr("row_number <> first OR place <> first_place"))
+    line = lambda place: F.shiftright(place, _LINES + _CHECK).cast("int")
+    size = lambda place: F.shiftright(place, _CHECK).bitwiseAND(F.lit((1 << _LINES) - 1)).cast("int")
+    runs = F.transform(F.collect_list("place"), lambda p: F.sequence(line(p), line(p) + size(p) - 1))
+    gone = met.groupBy("row_number").agg(F.array_sort(F.array_distinct(F.flatten(runs))).alias("gone"))
     out = lines.join(gone, "row_number", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     pick = lambda col: F.transform("gone", lambda i: F.element_at(col, i + 1))
     return out.select("doc_id", "text_hash", "n_lines", pick("numbers").alias("removed"), F.aggregate(pick("words"), F.lit(0).cast("long"), lambda a, b: a + b).alias("words_removed"))

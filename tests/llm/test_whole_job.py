@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from strandvote.llm import decontamination, near_dedup
+from strandvote.llm import decontamination, line_dedup, near_dedup
 from strandvote.llm import kernels as k
 
 
@@ -45,3 +45,48 @@ def test_stage_links_from_80_hundredths_on(spark, make):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, make(rows), "").collect()}
     assert 0 < sum(similar) < 40 and kept == {d for d in range(80) if d % 2 == 0 or not similar[d // 2]}
     assert near_dedup.deduplicated(make(rows)).count() == 80
+
+
+def removed_by_brute_force(rows, least=50):
+    """Line numbers in a run of at least so many words that stands in an earlier place too."""
+    lines = [[(i, x) for i, x in enumerate(t.split("\n")) if x.split()] for _, t in rows]
+    out = {}
+    for d, own in enumerate(lines):
+        gone = set()
+        for e in range(d + 1):
+            for shift in range(-len(lines[e]) + 1, len(own)):
+                if e == d and shift <= 0:
+                    continue
+                run = []
+                for i in range(max(0, shift), len(own) + 1):
+                    if i < len(own) and i - shift < len(lines[e]) and own[i][1] == lines[e][i - shift][1]:
+                        run.append(own[i])
+                        continue
+                    if sum(len(x.split()) for _, x in run) >= least:
+                        gone |= {j for j, _ in run}
+                    run = []
+        out[rows[d][0]] = sorted(gone)
+    return out
+
+
+def test_a_later_holder_has_the_tail(make):
+    """The first holder of the only whole window holds just the head of the run."""
+    head, tail = " ".join(f"h{i}" for i in range(82)), "\n".join(" ".join(f"t{j}x{i}" for i in range(n)) for j, n in enumerate((10, 9, 1, 10)))
+    last = tail.rsplit("\n", 1)[0] + "\nanother last line"
+    rows = [(1, f"{head}\n{last}"), (2, f"{head}\n{tail}"), (3, f"{head}\n{tail}")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeats(make(rows)).collect()}
+    assert got == {1: [], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3, 4]}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_removed_lines_equal_brute_force(make, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}w{j}" for j in range(rng.choice([1, 5, 12, 30, 60]))) for i in range(12)]
+    rows = []
+    for d in range(60):
+        at = rng.randrange(12)
+        some = [pool[(at + i) % 12] for i in range(rng.randrange(0, 9))]
+        some = [rng.choice(pool) if rng.random() < 0.15 else x for x in some]
+        rows.append((d, "\n".join(x for line in some for x in ([line, ""] if rng.random() < 0.2 else [line]))))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeats(make(rows)).collect()}
+    assert got == removed_by_brute_force(rows) and any(got.values())
