@@ -3,12 +3,13 @@
 Mentions are found by one pattern and reduced to a canonical form, so that mentions of one entity
 share one. Each distinct entity gets a surrogate core from a keyed digest: same kind, alphabet, case,
 length and checksum; names keep gender and script. Cores that meet another core or a real entity are
-drawn again until all are distinct. Each mention is then written in its own format from the core.
+drawn again; those that still meet one take the free forms of their shape in turn. Each mention is then written in its own format from the core.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import internal, joined, table, written
@@ -24,7 +25,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+(?<![.-])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?:[0-9a-f]{32,128}|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,100})(?![A-Za-z0-9])|(?<=[=:] ?[\"'])[^\"'\s]{8,200}(?=[\"'])",
+    "secret": r"(?:[0-9a-f]{32,}+|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])|(?<=[=:] ?[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "card": r"(?<!-)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
@@ -81,21 +82,27 @@ def _luhn_sum(digits: Column, first: int) -> Column:
 
 def _name_core(kind: Column, digest: Column, attempt: Column) -> Column:
     more = lambda script, a, b: F.concat(*[_pick(_SYLLABLES[script], _byte(digest, i) * 7 + _byte(digest, i + 20)) for i in range(a, b)])
-    out = F.when(kind == "surname_cyrillic", F.concat(more("cyrillic", 0, 4), F.lit("ов"))).when(kind == "surname_latin", more("latin", 0, 5))
+    longer = lambda script, a: F.when(attempt > 8, more(script, a, a + 4)).otherwise(F.lit(""))  # noqa: E731  # short forms run out
+    out = F.when(kind == "surname_cyrillic", F.concat(more("cyrillic", 0, 4), longer("cyrillic", 6), F.lit("ов"))).when(kind == "surname_latin", F.concat(more("latin", 0, 5), longer("latin", 6)))
     for (gender, script), names in _GIVEN.items():
-        given = F.concat(_pick(names, _byte(digest, 0)), F.when(attempt > 0, more(script, 1, 4)).otherwise(F.lit("")))
+        given = F.concat(_pick(names, _byte(digest, 0)), F.when(attempt > 0, more(script, 1, 4)).otherwise(F.lit("")), longer(script, 5))
         out = out.when(kind == f"given_{gender}_{script}", F.lower(given))
     return out
 
 
+def _domain(canon: Column, key: str) -> Column:
+    """The surrogate of an e-mail's domain, the same for all of its addresses."""
+    domain = F.substring_index(canon, "@", -1)
+    cut = F.substring_index(domain, ".", -1)
+    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(cut))
+    return F.concat(_swapped(host, _digest(key, F.lit("domain"), domain), F.lit(False)), cut)
+
+
 def core(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a canonical form: a canonical form of the same kind."""
     digest = _digest(key, kind, canon, attempt.cast("string"))
     no = F.lit(False)
-    domain = F.substring_index(canon, "@", -1)
-    cut = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(cut))
-    email = F.concat(_swapped(F.substring_index(canon, "@", 1), digest, no), F.lit("@"), _swapped(host, _digest(key, F.lit("domain"), domain), no), cut)
+    email = F.concat(_swapped(F.substring_index(canon, "@", 1), digest, no), F.lit("@"), _domain(canon, key))
     ip = F.concat_ws(".", *[(_byte(digest, i) % 254 + 1).cast("string") for i in range(4)])
     swapped = _swapped(canon, digest, canon.rlike("^[0-9a-f]+$"))
     phone = F.concat((_byte(digest, 63) % 8 + 2).cast("string"), F.substring(swapped, 2, 100))
@@ -132,26 +139,84 @@ def entities(mentions: DataFrame) -> DataFrame:
     )
 
 
+def _shape(kind: Column, canon: Column, domain: Column) -> Column:
+    """What the forms of a core have in common: head and tail, the characters that may stand at each place between, and
+    whether a check digit follows."""
+    luhn = (kind == "card") & (_luhn_sum(canon, 0) % 10 == 0)
+    head = F.when(kind == "iban", F.substring(canon, 1, 2)).when(kind == "card", F.substring(canon, 1, 1)).otherwise(F.lit(""))
+    body = F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(F.substring(canon, F.length(head) + 1, F.length(canon) - F.length(head) - luhn.cast("int")))
+    hexadecimal = (kind != "email") & canon.rlike("^[0-9a-f]+$")
+
+    def choices(c: Column, i: Column) -> Column:
+        small = F.lower(c)
+        letters = F.when(hexadecimal & small.between("a", "f"), F.lit("abcdef")).when(small.between("a", "z"), F.lit(_LATIN)).when(small.rlike(r"\p{IsCyrillic}"), F.lit(_CYRILLIC)).when(small.rlike(r"\p{IsLatin}"), F.lit(_LATIN))
+        letters = F.when(c != small, F.upper(letters)).otherwise(letters)
+        digits = F.when((kind == "phone") & (i == 0), F.lit("23456789")).otherwise(F.lit("0123456789"))
+        return F.when(c.between("0", "9"), digits).otherwise(F.coalesce(letters, c))
+
+    return F.struct(kind.alias("kind"), head.alias("head"), F.transform(F.split(body, ""), choices).alias("places"), F.when(kind == "email", F.concat(F.lit("@"), domain)).otherwise(F.lit("")).alias("tail"), luhn.alias("luhn"))
+
+
+def _form(shape: Column, number: Column) -> Column:
+    """Form number, from 0, of a shape."""
+    start = F.struct(F.lit("").alias("text"), number.cast("long").alias("left"))
+
+    def put(acc: Column, choices: Column) -> Column:
+        n = F.length(choices)
+        digit = (acc["left"] % n).cast("int")
+        return F.struct(F.concat(acc["text"], F.substring(choices, digit + 1, F.lit(1))).alias("text"), F.floor((acc["left"] - digit) / n).cast("long").alias("left"))
+
+    text = F.concat(shape["head"], F.aggregate(shape["places"], start, put)["text"])
+    return F.concat(text, F.when(shape["luhn"], ((10 - _luhn_sum(text, 1) % 10) % 10).cast("string")).otherwise(F.lit("")), shape["tail"])
+
+
+def _free_forms(stuck: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """kind, canon and core of the stuck entities (kind, canon): by shape, the first free forms from a keyed one on.
+
+    Of as many forms as are taken or asked for in a shape, enough are free, unless the shape has no more.
+    """
+    asked = stuck.withColumn("shape", _shape(F.col("kind"), F.col("canon"), _domain(F.col("canon"), key)))
+    asked = asked.withColumn("rank", F.row_number().over(W.partitionBy("shape").orderBy("canon")))
+    used = taken.select(_shape(F.col("kind"), F.col("core"), F.substring_index("core", "@", -1)).alias("shape")).groupBy("shape").agg(F.count("*").alias("used"))
+    shapes = asked.groupBy("shape").agg(F.count("*").alias("asked")).join(used, "shape", "left")
+    space = F.least(F.aggregate("shape.places", F.lit(1.0), lambda a, b: a * F.length(b)), F.lit(2.0**52)).cast("long")
+    shapes = shapes.withColumn("space", space).withColumn("tried", F.least("space", F.col("asked") + F.coalesce("used", F.lit(0))))
+    tries = shapes.select("shape", "space", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tried") - 1)).alias("i"))
+    first = F.pmod(F.xxhash64(F.lit(key), "shape.kind", "shape.head", F.array_join("shape.places", ""), "shape.tail"), "space")
+    forms = tries.select("shape", "i", F.col("shape.kind").alias("kind"), _form(F.col("shape"), (first + F.col("i")) % F.col("space")).alias("core"))
+    free = forms.join(taken, ["kind", "core"], "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("shape").orderBy("i")))
+    return asked.join(free.select("shape", "rank", "core"), ["shape", "rank"]).select("kind", "canon", "core")
+
+
 def cores(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon and core of every distinct entity; cores are distinct, and none is an entity of the corpus.
 
-    Entities whose core is taken draw again; the one with the least canonical form keeps it. A kind with
-    more entities than forms can't be served, which is an error.
+    Entities whose core is taken draw again, ROUNDS times; the one with the least canonical form keeps it. Those
+    that are left take free forms of their shape. A shape with more entities than forms can't be served, which is
+    an error.
     """
     every = found.select(F.col("kind_1").alias("kind"), F.col("canon_1").alias("canon")).union(found.where("kind_2 IS NOT NULL").select("kind_2", "canon_2"))
     every = written(every.distinct(), "entities")
     state = written(every.withColumn("attempt", F.lit(0)).withColumn("core", core(F.col("kind"), F.col("canon"), F.lit(0), key)), "cores")
-    for _ in range(ROUNDS):
+    for attempt in range(ROUNDS + 1):
         keeper = state.groupBy("kind", "core").agg(F.min("canon").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
         real = state.join(every.select("kind", F.col("canon").alias("core")), ["kind", "core"], "left_semi").select("kind", "canon")
         bad = state.join(keeper, ["kind", "core"]).where("canon <> keeper").select("kind", "canon").union(real).distinct()
         bad = written(bad.withColumn("again", F.lit(1)), "collisions")
         if bad.isEmpty():
             return state.select("kind", "canon", "core")
+        if attempt == ROUNDS:
+            break
         state = state.join(bad, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
         drawn = F.when(F.col("again").isNotNull(), core(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("core"))
         state = written(state.select("kind", "canon", "attempt", drawn.alias("core")), "cores")
-    raise ValueError("some entities still share a surrogate: a kind has too few forms")
+    stuck = bad.select("kind", "canon")
+    settled = state.join(stuck, ["kind", "canon"], "left_anti").select("kind", "canon", "core")
+    taken = settled.select("kind", "core").union(every.select("kind", "canon")).distinct()
+    given = written(_free_forms(stuck, taken, key), "free-forms")
+    if given.count() < stuck.count():
+        raise ValueError("some entities still share a surrogate: a shape has too few forms")
+    return settled.union(given)
 
 
 def _like(mention: Column, core_1: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from strandvote.llm import decontamination, line_dedup, near_dedup
+from strandvote.llm import decontamination, line_dedup, near_dedup, surrogates
 from strandvote.llm import kernels as k
 
 
@@ -90,3 +90,19 @@ def test_removed_lines_equal_brute_force(make, seed):
         rows.append((d, "\n".join(x for line in some for x in ([line, ""] if rng.random() < 0.2 else [line]))))
     got = {r["doc_id"]: r["removed"] for r in line_dedup.repeats(make(rows)).collect()}
     assert got == removed_by_brute_force(rows) and any(got.values())
+
+
+def test_long_secrets_are_replaced(make):
+    old = ["sk-" + "a1B2" * 40, "0123456789abcdef" * 16, "Qx7!" * 60]
+    texts = [f"key {old[0]} end", f"key {old[1]} end", f'token = "{old[2]}" end']
+    got = {r["doc_id"]: r for r in surrogates.replaced(make(list(enumerate(texts)))).collect()}
+    assert all(got[i]["n_entities"] == 1 and x not in got[i]["text"] and len(got[i]["text"]) == len(texts[i]) for i, x in enumerate(old))
+
+
+def test_every_form_of_a_shape_is_used(spark, monkeypatch):
+    """26 one-letter addresses of one domain have 26 surrogates, although random draws seldom end so."""
+    monkeypatch.setattr(surrogates, "ROUNDS", 3)
+    rows = [(f"{chr(97 + i)}@big-domain.com",) for i in range(26)]
+    out = surrogates.cores(surrogates.entities(spark.createDataFrame(rows, "mention string"))).toPandas()
+    assert len(out) == 26 and out["core"].nunique() == 26 and not set(out["core"]) & set(out["canon"])
+    assert set(out["core"].str[1:]) == {out["core"][0][1:]} and set(out["core"].str[0]) == set("abcdefghijklmnopqrstuvwxyz")
