@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is set, a local master gets a temporary one; on a cluster, whose machines have no folder in
+    common unless one is named, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,6 +41,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that written made, when all that is computed from them is written too."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -52,3 +67,32 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_right_{k}`")) for k in on]
     out = left.join(right, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_right_{k}" for k in on])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with over 1 / PARTS of all rows, and LEAST rows at least, is hot; its one partner is repeated SALTS times.
+PARTS, LEAST, SALTS = 300, 64, 32
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], by: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in column weight the rows that left has for it; weight goes.
+
+    So that no hot key lands in one task, its rows are dealt by the hash of column by to SALTS copies of its
+    partner. Hot keys are PARTS at most, whatever the input, so the list of them may be broadcast. Null keys
+    meet null keys.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) > max(LEAST, total / PARTS)).select(*on).withColumn("_hot", F.lit(True))
+    cond = lambda one, two: [F.col(f"{one}.`{k}`").eqNullSafe(F.col(f"{two}.`{k}`")) for k in on]
+    marked = left.alias("l").join(F.broadcast(hot).alias("h"), cond("l", "h"), "left")
+    marked = marked.select("l.*", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(f"l.`{by}`")), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"))
+    salts = F.when(F.col(weight) > max(LEAST, total / PARTS), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    partners = right.withColumn("_salt", F.explode(salts)).drop(weight)
+    return joined(marked, partners, [*on, "_salt"], how).drop("_salt")

@@ -1,13 +1,16 @@
-"""Line de-duplication by windows of line hashes.
+"""Line de-duplication by winnowing over line hashes.
 
 Lines are told apart by hash; lines without a word are passed over. A window is the shortest run of lines
-from a line on, or up to a line, with at least LEAST words. A run of at least LEAST words that holds a line
-can be cut down to a window that still holds it: cut from both ends while LEAST words are left and the line
-stays. So the lines of runs that stand in an earlier place too are exactly those of windows that do,
-whichever earlier place it is. Each window is joined with the first one of its content in the order of
-documents, one row and not a pair for each two of a group, and the lines of all but the first are deleted.
-All windows are joined, by their whole content: a selection of minima would find each repeated run too, but
-would have to be extended along each earlier holder of it, since the first one may hold just a part.
+from a line on, or up to a line, with at least LEAST words. Of each window the line of the least hash (the
+last of equal ones) is selected; its position is a fingerprint. A run of at least LEAST words that stands in
+two places holds a window, and the window's minimum is the same line in both, so each such run has a
+fingerprint in common: none is missed. Positions are joined by fingerprint; those without a partner, nearly
+all of a clean corpus, go. From each position that is left, the windows it is the minimum of reach out both
+ways. They are compared by content with the first place of that content, whichever it is, so a run may be
+matched in part by one earlier document and in part by another. A line is deleted if some window that holds
+it has an earlier place; a run of LEAST words can be cut from both ends down to such a window around any of
+its lines, so these are just the lines of all later repeated runs. Matched windows are joined into runs. All
+joins are with one row a content, not with each holder of it, so a group of copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -16,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import internal, joined, table
-from .sharding import numbered
+from .common import forget, internal, spread, table, written
 
 LEAST = 50
 
@@ -42,72 +44,144 @@ def line_table(part: k.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return text[some], number[some], k.span_hash(part.data, start[some], end[some]), n[some]
 
 
-def windows(text: np.ndarray, hashes: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line, line after the last, and content's hash of each window, in the order of lines."""
-    size = len(hashes)
+def windows(text: np.ndarray, n: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """First line and line after the last of each window, in the order of lines."""
+    size = len(text)
     total = np.concatenate(([0], np.cumsum(n)))
     end = np.searchsorted(total, total[:-1] + least, "left")
     start = np.searchsorted(total, total[1:] - least, "right") - 1
     down_from, up_to = np.flatnonzero(end <= np.searchsorted(text, text, "right")), np.flatnonzero(start >= np.searchsorted(text, text, "left"))
     both = np.unique(np.concatenate((down_from * (size + 1) + end[down_from], start[up_to] * (size + 1) + up_to + 1)))
-    start, end = both // (size + 1), both % (size + 1)
-    up, down = k._power_tables(size)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(k.mix(hashes) * up[:size])))
-    return start, end, (prefix[end] - prefix[start]) * down[start]
+    return both // (size + 1), both % (size + 1)
 
 
-#: A window's place is its first line, its lines (a line has a word, so at most LEAST) and 26 more bits of its content.
-_LINES, _CHECK = 6, 26
-_ROWS = "doc_id long, text_hash long, n_lines long, words array<int>, numbers array<int>, places array<long>, keys array<long>"
+def minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The line of the least hash of each window, the last one of equals."""
+    best, live = start.copy(), np.arange(len(start))
+    for j in range(1, LEAST):  # a line has a word, so no window has more lines
+        live = live[start[live] + j < end[live]]
+        if not len(live):
+            break
+        at = start[live] + j
+        lower = hashes[at] <= hashes[best[live]]
+        best[live[lower]] = at[lower]
+    return best
+
+
+def contents(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the lines of each window."""
+    one, two = (end - start).astype(np.uint64), np.zeros(len(start), np.uint64)
+    live = np.arange(len(start))
+    for j in range(LEAST):
+        live = live[start[live] + j < end[live]]
+        if not len(live):
+            break
+        own = hashes[start[live] + j]
+        one[live] += own * k.PLACE[j]
+        two[live] += k.mix(own ^ k.PLACE[j])
+    return k.mix(one), k.mix(two)
+
+
+_LINES = "doc_id long, text string, n_lines long, words array<int>, numbers array<int>, hashes array<long>, minima array<int>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _ROWS.split(", ")]
+    names = [x.split()[0] for x in _LINES.split(", ")]
+    by = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
     for batch in batches:
         for part in k.slices(batch.column("text")):
             text, number, hashes, n = line_table(part)
-            start, end, content = windows(text, hashes, n)
+            at = np.unique(minima(hashes, *windows(text, n)))
             bounds = np.searchsorted(text, np.arange(len(part) + 1))
-            starts_of = np.searchsorted(text[start], np.arange(len(part) + 1))
-            keys = k.mix(content ^ k.mix((end - start).astype(np.uint64)))
-            check = (k.mix(content + k.PLACE[0]) >> np.uint64(64 - _CHECK)).astype(np.int64)
-            places = ((start - bounds[text[start]]) << _LINES | end - start) << _CHECK | check
-            by = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            columns = [pa.array(part.per_text(part.data == 10) + 1), by(n.astype(np.int32), bounds), by(number.astype(np.int32), bounds), by(places, starts_of), by(keys.view(np.int64), starts_of)]
-            first = [batch.column(c).slice(part.first, len(part)) for c in ("doc_id", "text_hash")]
-            yield pa.RecordBatch.from_arrays([*first, *columns], names)
+            places = (at - bounds[text[at]]).astype(np.int32)
+            lists = [by(n.astype(np.int32), bounds), by(number.astype(np.int32), bounds), by(hashes.view(np.int64), bounds), by(places, np.searchsorted(at, bounds))]
+            first = [batch.column(c).slice(part.first, len(part)) for c in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([*first, pa.array(part.per_text(part.data == 10) + 1), *lists], names)
+
+
+#: A window's place is its first line and its lines, at most LEAST.
+_BITS = 6
+_WINDOWS = "uid long, doc_id long, text_hash long, place long, key long, check long"
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows, with their contents, of which a line in column at is the minimum."""
+    for batch in batches:
+        flat = lambda c, b=batch: b.column(c).flatten().to_numpy(zero_copy_only=False)
+        size = batch.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
+        first = np.concatenate(([0], np.cumsum(size)))
+        doc = np.repeat(np.arange(batch.num_rows), size)
+        hashes = flat("hashes").view(np.uint64)
+        asked = np.zeros(len(hashes), bool)
+        asked[np.repeat(first[:-1], batch.column("at").value_lengths().to_numpy(zero_copy_only=False)) + flat("at")] = True
+        start, end = windows(doc, flat("words").astype(np.int64))
+        own = asked[minima(hashes, start, end)]
+        start, end = start[own], end[own]
+        of = doc[start]
+        ids = [batch.column(c).take(pa.array(of)) for c in ("uid", "doc_id", "text_hash")]
+        columns = [(start - first[of]) << _BITS | end - start, *[x.view(np.int64) for x in contents(hashes, start, end)]]
+        yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], [x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+def _runs(places: Column) -> Column:
+    """Runs (a, b), b after the last line, that sorted windows' places cover; windows that touch are one run."""
+    kind = "array<struct<a: int, b: int>>"
+    a = lambda p: F.shiftright(p, _BITS).cast("int")
+    b = lambda p: (a(p) + p.bitwiseAND(F.lit((1 << _BITS) - 1))).cast("int")
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    closed = lambda s: F.when(s["a"] >= 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["done"])
+
+    def put(s: Column, p: Column) -> Column:
+        joins = (s["a"] >= 0) & (a(p) <= s["b"])
+        more = F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], b(p)).alias("b"))
+        return F.when(joins, more).otherwise(F.struct(closed(s).alias("done"), a(p).alias("a"), b(p).alias("b")))
+
+    return F.aggregate(places, zero, put, closed)
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, text, n_lines, words, numbers and gone (lines with a word, from 0, to delete), one row a document."""
+    rows = docs.select("doc_id", "text").mapInArrow(_read, _LINES)
+    rows = written(rows.withColumns({"uid": F.monotonically_increasing_id(), "text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}), "lines")
+    spots = rows.select("uid", F.explode("minima").alias("at"), "hashes").select("uid", "at", F.element_at("hashes", F.col("at") + 1).alias("fingerprint"))
+    shared = written(spots.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "fingerprints")
+    met = spread(spots, shared, ["fingerprint"], "uid", "n").groupBy("uid").agg(F.collect_list("at").alias("at"))
+    held = written(rows.select("uid", "doc_id", "text_hash", "words", "hashes").join(met, "uid").mapInArrow(_reach, _WINDOWS), "windows")
+    firsts = held.groupBy("key", "check").agg(F.min(F.struct("doc_id", "text_hash", "uid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = written(firsts.select("key", "check", F.col("first.uid").alias("first"), F.col("first.place").alias("first_place"), "n"), "first-windows")
+    later = spread(held, firsts, ["key", "check"], "uid", "n").where("uid <> first OR place <> first_place")
+    runs = later.groupBy("uid").agg(_runs(F.array_sort(F.collect_list("place"))).alias("runs"))
+    gone = runs.select("uid", F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1))).alias("gone"))
+    gone = written(gone, "gone")
+    forget(shared, held, firsts)
+    out = rows.select("uid", "doc_id", "text", "n_lines", "words", "numbers").join(gone, "uid", "left")
+    return out.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+
+
+def _pick(col: str) -> Column:
+    return F.transform("gone", lambda i: F.element_at(col, i + 1))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_lines, removed (line numbers from 0, sorted) and words_removed, one row a document.
+    """doc_id, n_lines, removed (line numbers from 0, sorted) and words_removed, one row a document.
 
     Documents are ordered by doc_id (nulls first), then by hash of the text; of repeated rows one is the
     first. A run may repeat inside its own document; there too the later one goes. Null and empty texts
     have one line and lose none.
     """
-    rows = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")).mapInArrow(_read, _ROWS)
-    lines, _ = numbered(rows, ["doc_id", "text_hash"])  # written there; numbers come by a broadcast join
-    at = lines.select("row_number", F.explode(F.arrays_zip("places", "keys")).alias("w")).select("row_number", F.col("w.places").alias("place"), F.col("w.keys").alias("key"))
-    firsts = at.groupBy("key").agg(F.min(F.struct("row_number", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.row_number").alias("first"), F.col("first.place").alias("first_place"))
-    same = F.col("place").bitwiseXOR(F.col("first_place")).bitwiseAND(F.lit((1 << _CHECK) - 1)) == 0
-    met = at.join(firsts, "key").where(same & F.expr("row_number <> first OR place <> first_place"))
-    line = lambda place: F.shiftright(place, _LINES + _CHECK).cast("int")
-    size = lambda place: F.shiftright(place, _CHECK).bitwiseAND(F.lit((1 << _LINES) - 1)).cast("int")
-    runs = F.transform(F.collect_list("place"), lambda p: F.sequence(line(p), line(p) + size(p) - 1))
-    gone = met.groupBy("row_number").agg(F.array_sort(F.array_distinct(F.flatten(runs))).alias("gone"))
-    out = lines.join(gone, "row_number", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    pick = lambda col: F.transform("gone", lambda i: F.element_at(col, i + 1))
-    return out.select("doc_id", "text_hash", "n_lines", pick("numbers").alias("removed"), F.aggregate(pick("words"), F.lit(0).cast("long"), lambda a, b: a + b).alias("words_removed"))
+    return _removed(_found(docs)).drop("text")
+
+
+def _removed(found: DataFrame) -> DataFrame:
+    words = F.aggregate(_pick("words"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select("doc_id", "text", "n_lines", _pick("numbers").alias("removed"), words.alias("words_removed"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, text without its repeated lines, n_lines, n_removed and words_removed, one row a document."""
-    found = repeats(docs)
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.col("text")).dropDuplicates(["doc_id", "text_hash"])
-    both = joined(found, texts, ["doc_id", "text_hash"])
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))
-    return both.select("doc_id", text.alias("text"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "words_removed")
+    return _removed(_found(docs)).select("doc_id", text.alias("text"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "words_removed")
 
 
 def op2_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
