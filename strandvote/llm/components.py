@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = nearer.select(F.col("node").alias("at"), F.col("near").alias("beyond"))
         new = nearer.join(jump, nearer["near"] == jump["at"], "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("label"), "old")
         new = written(new, "labels")
+        forget(nearer, state)
         state = new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            forget(both)
             return state

@@ -1,11 +1,17 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-Documents with one shingle set form a class, so exact copies cost one row each. A class has HASHES
-min-hashes; bands of ROWS of them propose candidates. Within a band's bucket each class first meets
-two members only, which links nearly all of a group of near copies; then only classes of different
-components meet, and those of a bucket's largest component don't meet each other. A candidate pair is
-dropped as soon as the posterior probability of a similarity of the limit falls below MISS, looking at BATCH
-hashes at a time; survivors are verified on their full shingle sets.
+Documents with one shingle set (told apart by two 64-bit hashes) form a class, so exact copies cost one row
+each; a class is a node, numbered when the classes are written. A class has min-hashes; bands of some rows of
+them propose candidates. Within a band's bucket each class first meets two members only, which links nearly
+all of a group of near copies; then only classes of different components meet, and those of a bucket's
+largest component don't meet each other. A candidate pair is dropped as soon as the posterior probability of
+a similarity of the limit falls below MISS, looking at BATCH hashes at a time; survivors are verified on their
+full shingle sets.
+
+That second step pairs the few classes of a small bucket directly and compares those of a larger one by their
+differences from a common set (_across_large); both ways are exact, and SMALL only sets where the first one,
+which takes less work for few classes, ends. Joins with one row a group, component or class are spread, so no
+hot group lands in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import internal, joined, table, written
+from .common import forget, fresh, joined, spread, table, written
 from .components import components
 
 WORDS = 5
@@ -75,11 +81,11 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-_SIGNED = "doc_id long, n_shingles long, node long, second long, sig binary"
+_SIGNED = "uid long, doc_id long, n_shingles long, one long, two long, sig binary"
 
 
 def signed(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the shingle set), second (another hash of it) and sig, of every whole text."""
+    """uid, doc_id, n_shingles, one and two (hashes of the shingle set) and sig, of every whole text of docs (uid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,17 +96,18 @@ def signed(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
                 pairs = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
                 sigs = [signature(s, rule.hashes).tobytes() if len(s) else None for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), *columns], ["doc_id", "n_shingles", "node", "second", "sig"])
+                ids = [batch.column(c).slice(part.first, len(part)) for c in ("uid", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], [x.split()[0] for x in _SIGNED.split(", ")])
 
-    return internal(docs, "doc_id", "text").mapInArrow(run, _SIGNED)
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, _SIGNED)
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row a distinct, not empty shingle set. Two sets with one node would be merged, so that is an error."""
-    out = rows.where("n_shingles > 0").groupBy("node").agg(
-        F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min("second").alias("_least"), F.max("second").alias("_most")
+    """One row a distinct, not empty shingle set, with its documents' number and least doc_id. node is a number, so write it once."""
+    out = rows.where("n_shingles > 0").groupBy("one", "two").agg(
+        F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
-    return out.where(F.when(F.col("_least") == F.col("_most"), True).otherwise(F.raise_error(F.lit("two shingle sets share a hash; change the seed")).cast("boolean"))).drop("_least", "_most")
+    return out.withColumn("node", F.monotonically_increasing_id())
 
 
 def bands(reps: DataFrame, rule: Rule = OP5) -> DataFrame:
@@ -155,33 +162,53 @@ def _likely(one: Column, two: Column, rule: Rule) -> Column:
     return likely(one, two)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set of the classes in wanted (node, doc_id), read again from one document of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in k.slices(batch.column("text")):
-                w = k.words(part, lower=True)
-                window = k.windows(w.hash, WORDS)
-                sets = [k.shingles(w, i, window, WORDS) for i in range(len(part))]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s)[0] for s in sets], pa.int64()), lists], ["node", "set"])
-
-    texts = joined(internal(docs, "doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")
-    found = texts.mapInArrow(run, "node long, set array<long>")
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-
-
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, rule: Rule = OP5) -> DataFrame:
+class Sets:
+    """Full shingle sets of classes, read again from one document of each; those read once are kept as tables."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame) -> None:
+        self.docs, self.reps, self.read = docs.select("doc_id", "text"), reps, []
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node and set of nodes (distinct)."""
+        known = [x.join(nodes, "node", "left_semi") for x in self.read]
+        missing = nodes
+        for x in self.read:
+            missing = missing.join(x.select("node"), "node", "left_anti")
+        missing = written(missing, "wanted")
+        if not self.read or not missing.isEmpty():
+            self.read.append(written(self._again(self.reps.join(missing, "node").select("node", "one", "two", "doc_id")), "sets"))
+            known.append(self.read[-1])
+        forget(missing)
+        out = known[0]
+        for x in known[1:]:
+            out = out.union(x)
+        return out
+
+    def _again(self, wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in k.slices(batch.column("text")):
+                    w = k.words(part, lower=True)
+                    window = k.windows(w.hash, WORDS)
+                    sets = [k.shingles(w, i, window, WORDS) for i in range(len(part))]
+                    pairs = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), lists], ["one", "two", "set"])
+
+        texts = joined(self.docs, wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")
+        found = texts.mapInArrow(run, "one long, two long, set array<long>")
+        return found.join(wanted.select("one", "two", "node"), ["one", "two"]).groupBy("node").agg(F.first("set").alias("set"))
+
+
+def verified(sets: Sets, pairs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    one = reps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    two = reps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    one = sets.reps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    two = sets.reps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     # sets whose sizes differ too much can't be similar
     near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= rule.limit * F.greatest("n_a", "n_b"))
     near = written(near.where(_likely(F.col("sig_a"), F.col("sig_b"), rule)).select("a", "b", "n_a", "n_b"), "survivors")
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = written(_sets(docs, reps.join(nodes, "node").select("node", "doc_id")), "sets")
-    both = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    found = sets.of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+    both = near.join(found.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(found.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(100 * shared >= rule.limit * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
@@ -211,7 +238,7 @@ def _symmetric(one: str, two: str) -> Column:
     return F.concat(F.array_except(one, two), F.array_except(two, one))
 
 
-def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def _across_large(sets: Sets, rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b), and pairs still to verify, of the classes of large buckets.
 
     Buckets with one largest component form a group. D(x) is the difference of x's set from a common set:
@@ -226,25 +253,28 @@ def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame, rule: Rule)
     """
     w, v = 100 + rule.limit, 100 - rule.limit
     group = written(rows.select(F.col("largest").alias("grp"), "node", "label").distinct(), "groups")
-    sets = written(_sets(docs, reps.join(group.select("node").distinct(), "node").select("node", "doc_id")), "sets")
-    anchors = group.groupBy("grp").agg(F.min("node").alias("anchor_node"), F.count("*").alias("members"))
-    anchor = anchors.join(sets.select(F.col("node").alias("anchor_node"), F.col("set").alias("anchor")), "anchor_node").select("grp", "anchor")
-    raw = group.join(sets, "node").join(anchor, "grp").select("grp", "node", "label", F.size("set").alias("n"), _symmetric("set", "anchor").alias("d"))
-    raw = written(raw, "differences")
-    often = raw.select("grp", F.explode("d").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("f")).join(anchors, "grp").where("2 * f > members")
-    common = anchors.join(often.groupBy("grp").agg(F.collect_list("e").alias("common")), "grp", "left").select("grp", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
-    diff = raw.join(common, "grp").select("grp", "node", "label", "n", _symmetric("d", "common").alias("d")).withColumn("g", w * F.size("d") - v * F.col("n"))
+    found = sets.of(group.select("node").distinct())
+    anchors = group.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
+    anchor = written(anchors.join(found, "node").select("grp", F.col("set").alias("anchor"), "members", F.col("members").alias("weight")), "anchors")
+    raw = spread(group.join(found, "node"), anchor, ["grp"], "node", "weight")
+    raw = written(raw.select("grp", "node", "label", "members", F.size("set").alias("n"), _symmetric("set", "anchor").alias("d")), "differences")
+    often = raw.select("grp", "members", F.explode("d").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("f"), F.first("members").alias("members")).where("2 * f > members")
+    common = anchors.select("grp", "members").join(often.groupBy("grp").agg(F.collect_list("e").alias("common")), "grp", "left")
+    common = written(common.select("grp", "members", F.coalesce("common", F.array().cast("array<long>")).alias("common")), "common")
+    diff = spread(raw.drop("members"), common, ["grp"], "node", "members").select("grp", "node", "label", "n", _symmetric("d", "common").alias("d")).withColumn("g", w * F.size("d") - v * F.col("n"))
     diff = written(diff, "differences")
-    center = diff.groupBy("grp").agg(F.min(F.struct("g", "node")).alias("z")).select("grp", F.col("z.g").alias("g_z"), F.col("z.node").alias("z"))
-    center = center.join(diff.select("grp", F.col("node").alias("z"), F.col("d").alias("d_z"), F.col("label").alias("label_z")), ["grp", "z"])
-    met = diff.join(center, "grp").withColumn("linked", 2 * w * F.size(F.array_intersect("d", "d_z")) >= F.col("g") + F.col("g_z"))
+    center = diff.groupBy("grp").agg(F.min(F.struct("g", "node")).alias("z"), F.count("*").alias("members")).select("grp", F.col("z.g").alias("g_z"), F.col("z.node").alias("z"), "members")
+    center = written(center.join(diff.select("grp", F.col("node").alias("z"), F.col("d").alias("d_z"), F.col("label").alias("label_z")), ["grp", "z"]), "centers")
+    met = spread(diff, center, ["grp"], "node", "members").withColumn("linked", 2 * w * F.size(F.array_intersect("d", "d_z")) >= F.col("g") + F.col("g_z"))
     met = written(met.drop("d_z"), "met")
+    forget(anchor, raw, common, diff, center)
     links = met.where("linked AND node <> z").select(F.least("node", "z").alias("a"), F.greatest("node", "z").alias("b"))
 
     need = lambda total: F.ceil(total / F.lit(2 * w))
     elements = written(met.select("grp", "node", F.explode("d").alias("e")), "elements")
     sharers = elements.groupBy("grp", "e").agg(F.count("*").alias("f"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who")).where("f > 1")
-    blocks = elements.join(sharers, ["grp", "e"]).groupBy("grp", "node", "f", "who").agg(F.count("*").alias("weight"))
+    sharers = written(sharers.withColumn("weight", F.col("f")), "sharers")
+    blocks = spread(elements, sharers, ["grp", "e"], "node", "weight").groupBy("grp", "node", "f", "who").agg(F.count("*").alias("weight"))
     # the weight, of 26 bits at most, stands in the block's name, so that common names give the overlap
     blocks = blocks.withColumn("block", F.xxhash64("f", "who").bitwiseAND(F.lit(-(1 << 26))).bitwiseOR(F.col("weight")))
     order = W.partitionBy("grp", "node").orderBy("f", "block")
@@ -263,22 +293,26 @@ def _across_large(docs: DataFrame, reps: DataFrame, rows: DataFrame, rule: Rule)
     return links, _ordered(one.join(two, ["grp", "block"]).where((F.col("label_x") != F.col("label_y")) & enough).select("x", "y"))
 
 
-def _linked(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, node and label (least node of its component) of every document."""
+def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of docs (uid, doc_id, text): rows, as signed makes them, and classes with label (least node of the component, null if alone)."""
     rows = written(signed(docs, rule), "signed")
     reps = written(classes(rows), "classes")
+    sets = Sets(docs, reps)
     live = written(bands(reps, rule), "bands")
     tried = written(_ordered(live.select(F.col("node").alias("x"), F.explode("pivots").alias("y"))), "pairs")
-    edges = written(verified(docs, reps, tried, rule), "links")
+    edges = written(verified(sets, tried, rule), "links")
     labels = components(edges)
     mixed = written(_open_rows(live, labels), "open-buckets")
-    links, rest = _across_large(docs, reps, mixed.where(F.col("members") > SMALL), rule)
+    forget(live)
+    links, rest = _across_large(sets, mixed.where(F.col("members") > SMALL), rule)
     rest = rest.union(_across_small(mixed.where(F.col("members") <= SMALL), rule)).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(docs, reps, rest, rule).union(links), "links")
+    more = written(verified(sets, rest, rule).union(links), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
-    return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = written(reps.select("node", "one", "two", "copies", "doc_id").join(labels, "node", "left"), "labelled")
+    forget(tried, mixed, rest, *sets.read)
+    return rows, out
 
 
 def grouped(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
@@ -288,29 +322,13 @@ def grouped(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     in component_id; if a whole component has no id, component_id is null and its rows are kept. Rows with
     one doc_id and different texts are rows of their own.
     """
-    rows = _linked(docs, rule)
-    least = rows.where("n_shingles > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, (F.col("label") == F.col("_label")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _tagged(docs: DataFrame) -> DataFrame:
-    """docs with _node, the hash of the text's shingle set; null without a word."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes: list[int | None] = []
-            for part in k.slices(batch.column(at)):
-                w = k.words(part, lower=True)
-                window = k.windows(w.hash, WORDS)
-                sets = (k.shingles(w, i, window, WORDS) for i in range(len(part)))
-                nodes += [set_hash(s)[0] if len(s) else None for s in sets]
-            yield batch.set_column(batch.num_columns - 1, "_node", pa.array(nodes, pa.int64()))
-
-    blank = docs.withColumn("_node", F.lit(None).cast("long"))
-    return blank.mapInArrow(run, blank.schema)
+    rows, found = _linked(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), rule)
+    least = written(found.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "components")
+    several = spread(found.where("label IS NOT NULL"), least, ["label"], "node", "n").select("one", "two", "copies", "component_id")
+    by_set = written(several.union(found.where("label IS NULL").select("one", "two", "copies", F.col("doc_id").alias("component_id"))), "by-set")
+    filled = spread(rows.where("n_shingles > 0").select("uid", "doc_id", "n_shingles", "one", "two"), by_set, ["one", "two"], "uid", "copies")
+    out = filled.select("doc_id", "n_shingles", "component_id").union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
@@ -318,14 +336,14 @@ def deduplicated(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
 
     Of rows that are equal in both one is left; texts without a word are kept, all of them.
     """
-    names, order = docs.columns, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
-    best = _linked(docs, rule).where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("best"))
-    best = written(best.select("best.doc_id", F.col("best.node").alias("_node")), "kept")
-    tagged = _tagged(docs)
-    first = joined(tagged.where("_node IS NOT NULL"), best, ["doc_id", "_node"], "left_semi")
-    twice = written(first.groupBy("doc_id", "_node").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
-    single, several = joined(first, twice, ["doc_id", "_node"], "left_anti"), joined(first, twice, ["doc_id", "_node"], "left_semi")
-    out = single.union(several.dropDuplicates(["doc_id", "_node"])).union(tagged.where("_node IS NULL"))
+    names, uid = docs.columns, fresh(docs, "uid")
+    docs = written(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    rows, found = _linked(docs.select(F.col(uid).alias("uid"), "doc_id", "text"), rule)
+    best = written(rows.where("n_shingles > 0").groupBy("one", "two").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two", "uid")).alias("best")), "best-of-set")
+    best = best.join(found.select("one", "two", "label"), ["one", "two"])
+    first = best.where("label IS NOT NULL").groupBy("label").agg(F.min("best").alias("best")).select("best.uid")
+    kept = first.union(best.where("label IS NULL").select("best.uid")).union(rows.where("n_shingles = 0").select("uid"))
+    out = docs.join(written(kept.withColumnRenamed("uid", uid), "kept"), uid, "left_semi")
     return out.select(*[F.col(f"`{c}`") for c in names])
 
 
