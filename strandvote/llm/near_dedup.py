@@ -54,6 +54,8 @@ PIVOTS = 2
 HASHES, BATCH, MISS = OP5.hashes, 32, 1e-6
 #: Classes of a bucket that are paired with each other directly.
 SMALL = 24
+#: Members of a group, by hash, that choose its common set.
+VOTERS = 64
 
 _MASKS = np.random.default_rng(31).integers(0, 1 << 32, max(HASHES, STAGE.hashes), dtype=np.uint32)
 _FACTORS = np.random.default_rng(32).integers(0, 1 << 32, max(HASHES, STAGE.hashes), dtype=np.uint32) | np.uint32(1)
@@ -242,8 +244,8 @@ def _across_large(sets: Sets, rows: DataFrame, rule: Rule) -> tuple[DataFrame, D
     """Links (a, b), and pairs still to verify, of the classes of large buckets.
 
     Buckets with one largest component form a group. D(x) is the difference of x's set from a common set:
-    first that of one member, then corrected by the elements that over half of the group's differences
-    share. With w = 100 + limit, v = 100 - limit and g(x) = w * |D(x)| - v * |x|, classes x and y are linked
+    first that of one member, then corrected by the elements that over half of VOTERS or so differences
+    share. Any common set gives the same links; one near the middle makes differences small. With w = 100 + limit, v = 100 - limit and g(x) = w * |D(x)| - v * |x|, classes x and y are linked
     exactly if g(x) + g(y) <= 2 * w * |D(x) & D(y)|. Let z have the least g. Every x meets z. An x that isn't
     linked to z has g(x) + g(z) > 0, so it shares at least (g(x) + g(y)) / 2w > 0 elements with any y that it
     is linked to. An edit puts several elements into the same classes' differences; elements with the same
@@ -258,7 +260,9 @@ def _across_large(sets: Sets, rows: DataFrame, rule: Rule) -> tuple[DataFrame, D
     anchor = written(anchors.join(found, "node").select("grp", F.col("set").alias("anchor"), "members", F.col("members").alias("weight")), "anchors")
     raw = spread(group.join(found, "node"), anchor, ["grp"], "node", "weight")
     raw = written(raw.select("grp", "node", "label", "members", F.size("set").alias("n"), _symmetric("set", "anchor").alias("d")), "differences")
-    often = raw.select("grp", "members", F.explode("d").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("f"), F.first("members").alias("members")).where("2 * f > members")
+    few = raw.where(F.pmod(F.xxhash64("node"), F.col("members")) < VOTERS)
+    voters = few.groupBy("grp").agg(F.count("*").alias("voters"))
+    often = few.select("grp", F.explode("d").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("f")).join(voters, "grp").where("2 * f > voters")
     common = anchors.select("grp", "members").join(often.groupBy("grp").agg(F.collect_list("e").alias("common")), "grp", "left")
     common = written(common.select("grp", "members", F.coalesce("common", F.array().cast("array<long>")).alias("common")), "common")
     diff = spread(raw.drop("members"), common, ["grp"], "node", "members").select("grp", "node", "label", "n", _symmetric("d", "common").alias("d")).withColumn("g", w * F.size("d") - v * F.col("n"))
