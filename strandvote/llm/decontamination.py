@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import internal, table
+from .common import fresh, table, written
 
 #: A passage may have one edit for each 1 / EDITS words of its item, so items of under 5 words are found verbatim only.
 EDITS, RECALL = 0.2, 0.98
-#: Words that a walk spans, sampled steps a key, tables a walk, distance of walks over an item, items a block.
-SPAN, SAMPLED, PER_WALK, STRIDE, BLOCK = 16, 6, 6, 3, 20_000
+#: Words that a walk spans, sampled steps a key, tables a walk, distance of walks over an item.
+SPAN, SAMPLED, PER_WALK, STRIDE = 16, 6, 6, 3
+#: Words of items a block. Its index takes 16 bytes a word and table, and a bit map of half a megabyte a table: 63 MB at most.
+BLOCK_WORDS = 100_000
 MOST_TABLES, CHUNK = 30, 1 << 15
 #: Items of fewer words go by pieces. Least words of the classes whose recall is measured, by COPIES copies of each.
 SHORT, CLASSES, COPIES = 25, (25, 30, 40, 60, 100), 600
@@ -35,7 +37,7 @@ SHORT, CLASSES, COPIES = 25, (25, 30, 40, 60, 100), 600
 
 @dataclass
 class Keys:
-    """Sorted keys with their item and offset, and a bit map of the keys' first bits."""
+    """Sorted keys with their item and offset, and a bit map, eight bits a byte, of the keys' first bits."""
 
     key: np.ndarray
     item: np.ndarray
@@ -45,7 +47,8 @@ class Keys:
 
     def matches(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of row with a key, the item of it and its offset, one for each match."""
-        at = np.flatnonzero(self.seen.take((row >> np.uint64(64 - self.bits)).view(np.int64)))
+        head = (row >> np.uint64(64 - self.bits)).view(np.int64)
+        at = np.flatnonzero(self.seen.take(head >> 3) >> (head & 7).astype(np.uint8) & 1)
         lo, hi = np.searchsorted(self.key, row[at], "left"), np.searchsorted(self.key, row[at], "right")
         at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -151,10 +154,10 @@ def _keys(found: list[tuple[np.ndarray, int, np.ndarray]]) -> Keys:
     key, at = (np.concatenate([x[i] for x in found]) for i in (0, 2))
     owner = np.repeat([x[1] for x in found], [len(x[0]) for x in found])
     order = np.argsort(key, kind="stable")
-    bits = min(26, max(16, int(np.ceil(np.log2(len(key) + 1))) + 7))
+    bits = max(12, int(np.ceil(np.log2(len(key) + 1))) + 5)
     seen = np.zeros(1 << bits, bool)
     seen[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Keys(key[order], owner[order], at[order], bits, seen)
+    return Keys(key[order], owner[order].astype(np.int32), at[order].astype(np.int32), bits, np.packbits(seen, bitorder="little"))
 
 
 def build(ids: list, texts: list[str | None], recall: float = RECALL) -> Index | None:
@@ -208,7 +211,7 @@ def candidates(index: Index, hashes: np.ndarray) -> np.ndarray:
     for keys, row in zip(index.tables, walk_keys(hashes, index.steps, index.samples) if index.tables else (), strict=True):
         at, item, offset = keys.matches(row)
         if len(at):
-            out.append(np.stack((item, at - offset), 1))
+            out.append(np.stack((item.astype(np.int64), at - offset), 1))
     return _distinct(out)
 
 
@@ -220,7 +223,7 @@ def piece_candidates(index: Index, w: k.Words) -> np.ndarray:
         inside = left[at] >= n
         at, item, offset = at[inside], item[inside], offset[inside]
         if len(at):
-            out.append(np.stack((item, at - offset, np.searchsorted(w.first, at, "right") - 1), 1))
+            out.append(np.stack((item.astype(np.int64), at - offset, np.searchsorted(w.first, at, "right") - 1), 1))
     return _distinct(out)
 
 
@@ -302,15 +305,25 @@ def _scan(docs: DataFrame, schema: object, text_at: int, index: Index, keep_clea
     return docs.mapInArrow(run, schema)
 
 
-def indexes(benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK) -> list[Index]:
-    """Indexes of blocks of at most about block items each; each block is a fixed query set against all documents."""
+def indexes(benchmark: DataFrame, recall: float = RECALL, block: int = BLOCK_WORDS) -> Iterator[Index]:
+    """Indexes of blocks of about block words each, one after the other; each block is a fixed query set against all documents."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
-    blocks = max(1, -(-items.count() // block))
-    out = []
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-words // block))
     for i in range(blocks):
         rows = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect())
-        out.append(build([r[0] for r in rows], [r[1] for r in rows], recall))
-    return [x for x in out if x]
+        found = build([r[0] for r in rows], [r[1] for r in rows], recall)
+        if found:
+            yield found
+
+
+def _by_block(docs: DataFrame, benchmark: DataFrame, schema: object, text_at: int, keep_clean: bool) -> DataFrame:
+    """Scan with one index after the other; what one found is written before the next is built, so one is held at a time."""
+    out, held = docs, None
+    for index in indexes(benchmark):
+        out = _scan(out if held is None else written(out, "decontaminated"), schema, text_at, index, keep_clean)
+        held = index
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -320,17 +333,14 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     given twice is reported twice.
     """
     out = docs.select("doc_id", F.lower("text").alias("text")).withColumn("hits", F.array().cast("array<struct<item_id: long, edits: long>>"))
-    for index in indexes(benchmark):
-        out = _scan(out, _OUT, 1, index, False)
-    return out
+    return _by_block(out, benchmark, _OUT, 1, False)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any hit, with their own columns."""
-    names, out = docs.columns, docs.select("*", F.lower(F.col("text")).alias("_wording"))
-    for index in indexes(benchmark):
-        out = _scan(out, out.schema, len(names), index, True)
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    names = docs.columns
+    out = docs.withColumn(fresh(docs, "wording"), F.lower(F.col("text")))
+    return _by_block(out, benchmark, out.schema, len(names), True).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
