@@ -3,7 +3,8 @@
 A template is the wording of a notice with optional regions, [[...]], and replaceable regions,
 {{n}}, of at most n words. It is compiled to a token automaton; a text is accepted where every
 mandatory word stands in order and nothing stands between them that the markup doesn't allow. Texts
-are searched for the first words of all templates by hash; automata run from those places only.
+are searched for the first mandatory words of all templates by hash; automata run from those places, and
+from the few words before them that regions at a template's head may take.
 """
 
 from __future__ import annotations
@@ -23,7 +24,15 @@ from .common import internal, table
 #: The phrases of the base scan and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public wordings of license notices.
+#: Wordings that several templates share.
+_MIT_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_ISC_GRANT = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+_BSD_TWO = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THREE = f"{_BSD_TWO} [[3]] neither the name of {{{{12}}}} may be used to endorse or promote products derived from this software"
+_BSD_WARRANTY = "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL_GRANT = "this program is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation"
+
+#: Public wordings of license notices, grants and whole texts.
 TEMPLATES = {
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "mit-notice": "released under the mit license",
@@ -31,11 +40,17 @@ TEMPLATES = {
     "cc-by-notice": "licensed under [[a]] [[the]] creative commons attribution [[{{3}} international]] [[license]]",
     "all-rights-reserved": "all rights reserved",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{8}} to deal in {{4}} without restriction [[including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of {{4}}]]",
-    "isc-text": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-3-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{12}} may be used to endorse or promote products derived from this software",
+    "isc-text": _ISC_GRANT,
+    "bsd-2-clause-text": _BSD_TWO,
+    "bsd-3-clause-text": _BSD_THREE,
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-header": _GPL_GRANT,
+    "mit-full": f"[[the]] [[mit license]] [[copyright [[c]] {{{{8}}}}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software {_MIT_WARRANTY}",
+    "isc-full": f"[[isc license]] [[copyright [[c]] {{{{8}}}}]] {_ISC_GRANT} the software is provided as is and {{{{4}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{{{4}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-full": f"{_BSD_TWO} {_BSD_WARRANTY}",
+    "bsd-3-clause-full": f"{_BSD_THREE} without specific prior written permission {_BSD_WARRANTY}",
+    "apache-2.0-header-full": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-header-full": f"{_GPL_GRANT} either version {{{{1}}}} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details [[you should have received a copy of the gnu [[lesser]] [[affero]] general public license along with this program [[if not see {{{{6}}}}]]]]",
 }
 
 ANY = None
@@ -43,10 +58,14 @@ ANY = None
 
 @dataclass
 class Automaton:
-    """step[s]: word hash (or ANY) and next state of the edges of s; skip[s]: states reached for nothing."""
+    """step[s]: word hash (or ANY) and next state of the edges of s; skip[s]: states reached for nothing.
+
+    head: the first mandatory words, up to three that stand side by side; before: words that regions before it may take.
+    """
 
     label: str
     head: list[int]
+    before: int
     mandatory: int
     step: list[list[tuple[int | None, int]]] = field(default_factory=lambda: [[]])
     skip: list[list[int]] = field(default_factory=lambda: [[]])
@@ -87,16 +106,23 @@ def hashes(text: str) -> list[int]:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
+    """The automaton of a template. One without a mandatory word would accept an empty text, so it is an error."""
     tokens = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup)
-    head, mandatory, deep = [], 0, 0
+    head, before, mandatory, deep, side = [], 0, 0, 0, True
     for t in tokens:
         deep += (t == "[[") - (t == "]]")
-        mandatory += not deep and t[0] not in "[]{"
-    for t in tokens:
-        if t[0] in "[{":
-            break
-        head += hashes(t)
-    out, at, opened, depth = Automaton(label, head[:3], mandatory), 0, [], 0
+        word = t[0] not in "[]{"
+        if word and not deep:
+            mandatory += 1
+            if side and len(head) < 3:
+                head += hashes(t)
+        elif head:
+            side = False  # the words after a region don't stand beside those before it
+        else:
+            before += 1 if word else int(t[2:-2]) if t[0] == "{" else 0
+    if not head:
+        raise ValueError(f"template {label} has no mandatory word")
+    out, at, opened, depth = Automaton(label, head, before, mandatory), 0, [], 0
     for t in tokens:
         if t == "[[":
             opened.append(at)
@@ -162,12 +188,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                     for at in places(w, left, phrase):
                         add(at, at + len(phrase), label, True)
                 for a in automata:
-                    for at in places(w, left, a.head):
-                        n, far = a.run(w.hash[at : at + min(int(left[at]), len(a.step))].tolist())
+                    ended = -1
+                    for at in places(w, left, a.head).tolist():
                         i = int(np.searchsorted(w.first, at, "right")) - 1
-                        share[i] = max(share[i], far / a.mandatory)
-                        if n:
-                            add(at, at + n, a.label, False)
+                        for start in range(max(int(w.first[i]), at - a.before), at + 1):  # the longest match has the first start
+                            n, far = a.run(w.hash[start : start + min(int(left[start]), len(a.step))].tolist())
+                            share[i] = max(share[i], far / a.mandatory)
+                            if n:
+                                if start + n != ended:
+                                    add(start, start + n, a.label, False)
+                                ended = start + n
+                                break
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(part.first, len(part)), pa.array(w.count), pa.array(found, _MATCH), pa.array(share)], ["doc_id", "n_words", "matches", "partial"]
                 )
