@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a maximal run of anything but ASCII white space.
@@ -77,6 +78,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def least_hashes(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """Distinct by and key of most of the keys of rows at most, those of the least hash; by: so many for each value of that column.
+
+    A share of the hash range that holds 4 * most keys or so is taken by a plain filter, and only what
+    passes is ranked; so no task sees more, however many rows there are. The values of by are told to all
+    tasks; a model that is fitted for each of them holds more than that.
+    """
+    groups = [by] if by else []
+    counts = rows.groupBy(*groups).agg(F.approx_count_distinct(key).alias("_n"))
+    place = (F.xxhash64(key) / F.lit(2.0**64)) + F.lit(0.5)
+    near = rows.join(F.broadcast(counts), by) if by else rows.crossJoin(F.broadcast(counts))  # one row
+    near = near.where(place <= F.lit(4.0 * most) / F.greatest("_n", F.lit(1))).select(key, *groups).distinct()
+    order = W.partitionBy(*groups, F.lit(0)).orderBy(F.xxhash64(key), key)
+    return near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).drop("_at")
+
+
 #: A key with over 1 / PARTS of all rows, and LEAST rows at least, is hot; its one partner is repeated SALTS times.
 PARTS, LEAST, SALTS = 300, 64, 32
 

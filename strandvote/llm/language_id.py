@@ -14,11 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import internal, remainder, table
+from .common import internal, least_hashes, remainder, table
 
 HIDDEN, CHUNK, BATCH = 8, 128, 2048
 #: Training documents of a language and chunks of a document that a fit reads at most.
@@ -217,12 +216,13 @@ def fit(docs: DataFrame) -> Network | None:
     """A network from documents that are not held out and have a language and a letter.
 
     Up to SAMPLE documents a language, the first by hash of the id, so that large languages don't drown
-    small ones. None if there are no such documents.
+    small ones; of several texts with one id and language the first in their order. None if there are no
+    such documents.
     """
     rows = internal(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder("doc_id", 4) != 2))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE).select("doc_id", "lang").distinct()
+    ids = least_hashes(rows.select("doc_id", "lang"), "doc_id", SAMPLE, "lang")
     chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # SAMPLE rows a language at most
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = sorted((r["lang"], bytes(r["chunk"])) for r in chosen.mapInArrow(_sample_chunks, _SAMPLE).collect())
     if not found:
         return None

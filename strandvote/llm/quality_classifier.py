@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .common import internal, remainder, table
+from .common import internal, least_hashes, remainder, table
 from .stats import CLASSES, measure
 
 ACCEPT = 0.3
@@ -101,13 +101,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled documents that are not held out: SAMPLE of them at most, the first by hash of the id.
 
     A document that any row of labels marks 0 counts as bad; rows without a label or an id are left out.
+    Of several texts with one id the one of the least features counts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder("doc_id", 5) != 0))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # a bounded sample, so it may be broadcast
-    rows = internal(docs, "doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", "quality")
+    chosen = least_hashes(known, "doc_id", SAMPLE)  # a bounded sample, so it may be broadcast
+    known = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = internal(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     quality = {r["doc_id"]: r["quality"] for r in known.collect()}
-    found = sorted((r["doc_id"], r["f"]) for r in rows.mapInArrow(_feature_rows, _FEATURES).collect())
+    rows = rows.mapInArrow(_feature_rows, _FEATURES).groupBy("doc_id").agg(F.min("f").alias("f"))
+    found = sorted((r["doc_id"], r["f"]) for r in rows.collect())
     width = features(next(k.slices(pa.array([""])))).shape[1]
     f = np.array([x for _, x in found], float).reshape(len(found), width)
     return fit_pairs(f, np.array([quality[d] == 1 for d, _ in found], bool))
