@@ -2,8 +2,11 @@
 
 Mentions are found by one pattern and reduced to a canonical form, so that mentions of one entity
 share one. Each distinct entity gets a surrogate core from a keyed digest: same kind, alphabet, case,
-length and checksum; names keep gender and script. Cores that meet another core or a real entity are
-drawn again; those that still meet one take the free forms of their shape in turn. Each mention is then written in its own format from the core.
+length and checksum; names keep gender and script. Surnames that are declined by gender share the entity of
+their masculine form, and a mention gets the ending of its own gender. Cores that meet another core or a real
+entity are drawn again; those that still meet one take the free forms of their shape in turn. Each mention is
+then written in its own format from the core. A full name that stands with a title once is replaced in its
+whole document, with or without one.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from .common import internal, joined, table, written
 
 KEY, ROUNDS = "surrogates-1", 25
 
-_TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"}
+_TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dra|Госпожа|Κυρία", "any": "Dr|Prof|Доктор|Профессор"}
+_TITLE = "|".join(_TITLES.values())
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in the order in which they are tried, all at a place that follows no letter or digit, so that the inside
@@ -24,23 +28,33 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+(?<![.-])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,39}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?:[0-9a-f]{32,}+|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])|(?<=[=:] ?[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "card": r"(?<!-)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
-    "name": rf"(?:{_TITLES['m']}|{_TITLES['f']})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
-_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
+_LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+#: Alphabets by the class of letters that each replaces.
+_ALPHABETS = {r"\p{IsCyrillic}": _CYRILLIC, r"\p{IsGreek}": _GREEK, r"\p{IsLatin}": _LATIN}
 _GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leon Martin Oscar Paul Simon Victor".split(),
     ("f", "latin"): "Alma Bella Clara Diana Elena Flora Helena Irene Julia Laura Maria Nora Paula Rosa Vera".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Денис Егор Иван Кирилл Леонид Марк Олег Павел Роман".split(),
     ("f", "cyrillic"): "Алла Вера Галина Дарья Елена Зоя Ирина Лариса Мария Нина Ольга София".split(),
+    ("m", "greek"): "Αλέξης Γιάννης Δημήτρης Κώστας Λευτέρης Μανώλης Νίκος Πέτρος Σπύρος Τάσος Φίλιππος Χρήστος".split(),
+    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Λίνα Μαρία Νίκη Σοφία".split(),
 }
-_SYLLABLES = {"latin": "ba be bo da del dor fa fen gar gol ha hol ja kar kel la len lor ma mer mon na nor pa per ra rin ro sa sel ta tor va wen".split(), "cyrillic": "ба бе во га гор да дол ев жа зор ка кол ла лен ма мир на нов па пет ра рин са сел та тор ха цел ша".split()}
+#: Endings of given names that are drawn again.
+_ENDINGS = {("m", "latin"): "us", ("f", "latin"): "a", ("m", "cyrillic"): "ан", ("f", "cyrillic"): "а", ("m", "greek"): "ος", ("f", "greek"): "α"}
+#: Endings of declined surnames: feminine ones, with what the masculine form has in their place.
+_FEMININE = {"cyrillic": [(r"(ов|ев|ёв|ин|ын)а$", "$1"), (r"(ск|цк)ая$", "$1ий")], "greek": [(r"(ιδ|αδ)ου$", "$1ης"), (r"πουλου$", "πουλος"), (r"ακη$", "ακης")]}
+_MASCULINE_CYRILLIC = r"(?:ов|ев|ёв|ин|ын|ский|цкий)$"
+_SYLLABLES = {"latin": "ba be bo da del dor fa fen gar gol ha hol ja kar kel la len lor ma mer mon na nor pa per ra rin ro sa sel ta tor va wen".split(), "cyrillic": "ба бе во га гор да дол ев жа зор ка кол ла лен ма мир на нов па пет ра рин са сел та тор ха цел ша".split(), "greek": "βα γε δο ζα θε κα κο λα λε μα μι να νε πα πε ρα ρο σα τα τι φα χα".split()}
 
 
 def _pick(choices: list[str], number: Column) -> Column:
@@ -64,7 +78,9 @@ def _swapped(text: Column, digest: Column, hexadecimal: Column) -> Column:
     def swap(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
         small = F.lower(c)
-        new = F.when(hexadecimal & small.between("a", "f"), _pick(list("abcdef"), n)).when(small.between("a", "z"), _pick(list(_LATIN), n)).when(small.rlike(r"\p{IsCyrillic}"), _pick(list(_CYRILLIC), n)).when(small.rlike(r"\p{IsLatin}"), _pick(list(_LATIN), n))
+        new = F.when(hexadecimal & small.between("a", "f"), _pick(list("abcdef"), n)).when(small.between("a", "z"), _pick(list(_LATIN), n))
+        for script, letters in _ALPHABETS.items():
+            new = new.when(small.rlike(script), _pick(list(letters), n))
         return F.when(c.between("0", "9"), _pick(list("0123456789"), n)).when(new.isNotNull(), F.when(c != small, F.upper(new)).otherwise(new)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), swap), "")
@@ -83,13 +99,43 @@ def _luhn_sum(digits: Column, first: int) -> Column:
 def _name_core(kind: Column, digest: Column, attempt: Column) -> Column:
     more = lambda script, a, b: F.concat(*[_pick(_SYLLABLES[script], _byte(digest, i) * 7 + _byte(digest, i + 20)) for i in range(a, b)])
     longer = lambda script, a: F.when(attempt > 8, more(script, a, a + 4)).otherwise(F.lit(""))  # noqa: E731  # short forms run out
-    out = F.when(kind == "surname_cyrillic", F.concat(more("cyrillic", 0, 4), longer("cyrillic", 6), F.lit("ов"))).when(kind == "surname_latin", F.concat(more("latin", 0, 5), longer("latin", 6)))
+    ending = {"surname_cyrillic": ("cyrillic", "ов"), "surname_plain": ("cyrillic", "енко"), "surname_greek": ("greek", "ιδης"), "surname_latin": ("latin", "")}
+    out = F.when(F.lit(False), F.lit(""))
+    for name, (script, last) in ending.items():
+        out = out.when(kind == name, F.concat(more(script, 0, 5 if script == "latin" else 4), longer(script, 6), F.lit(last)))
     for (gender, script), names in _GIVEN.items():
-        given = F.concat(_pick(names, _byte(digest, 0)), F.when(attempt > 0, more(script, 1, 4)).otherwise(F.lit("")), longer(script, 5))
-        out = out.when(kind == f"given_{gender}_{script}", F.lower(given))
+        again = F.concat(more(script, 1, 4), longer(script, 5), F.lit(_ENDINGS[gender, script]))
+        out = out.when(kind == f"given_{gender}_{script}", F.lower(F.concat(_pick(names, _byte(digest, 0)), F.when(attempt > 0, again).otherwise(F.lit("")))))
     return out
 
 
+def _ip6_core(canon: Column, digest: Column) -> Column:
+    """Groups of the same lengths without leading zeros; zeros stay, so that what :: stands for does too."""
+    digit = lambda i: lambda c, j: F.when(c == "0", c).otherwise(_pick(list("123456789abcdef"), _byte(digest, i * 4 + j)))
+    return F.array_join(F.transform(F.split(canon, ":"), lambda g, i: F.array_join(F.transform(F.split(g, ""), digit(i)), "")), ":")
+
+
+def _ip6_groups(mention: Column) -> Column:
+    """All groups of an address, without leading zeros, joined by colons."""
+    part = lambda i: F.filter(F.split(F.split_part(F.lower(mention), F.lit("::"), F.lit(i)), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(part(1)) - F.size(part(2))))
+    return F.array_join(F.transform(F.concat(part(1), zeros, part(2)), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
+def _ip6_like(mention: Column, core_1: Column) -> Column:
+    """core_1 with the groups, leading zeros and case of mention."""
+    tokens, groups = F.split(mention, ":", -1), F.split(core_1, ":")
+    gap = F.array_position(tokens, "")
+
+    def put(t: Column, i: Column) -> Column:
+        at = F.when((gap == 0) | (i < gap - 1), i).otherwise(F.size(groups) - F.size(tokens) + i)
+        own = F.try_element_at(groups, (at + 1).cast("int"))
+        own = F.lpad(own, F.greatest(F.length(t), F.length(own)), F.lit("0"))
+        return F.when(t == "", t).when((t != F.lower(t)), F.upper(own)).otherwise(own)
+
+    return F.array_join(F.transform(tokens, put), ":")
+
+
 def _domain(canon: Column, key: str) -> Column:
     """The surrogate of an e-mail's domain, the same for all of its addresses."""
     domain = F.substring_index(canon, "@", -1)
@@ -110,28 +156,47 @@ def core(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
     check = ((10 - _luhn_sum(body, 1) % 10) % 10).cast("string")
     card = F.concat(body, F.when(_luhn_sum(canon, 0) % 10 == 0, check).otherwise(F.substring(swapped, -1, 1)))
     iban = F.concat(F.substring(canon, 1, 2), F.substring(swapped, 3, 100))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("secret", "ssn"), swapped).otherwise(_name_core(kind, digest, attempt))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", _ip6_core(canon, digest)).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("secret", "ssn"), swapped).otherwise(_name_core(kind, digest, attempt))
 
 
 def _kind(mention: Column) -> Column:
     """The first kind of PATTERNS that the mention is, judged without what stands around it."""
     out = F.when(mention.rlike(r"^[^@\s]+@[^@\s]+$"), "email").when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
-    out = out.when(mention.rlike(rf"^(?:{_TITLES['m']}|{_TITLES['f']})\.? {_NAME}(?: {_NAME})?$"), "name")
+    out = out.when(mention.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]+::[0-9A-Fa-f:]+$"), "ip6").when(mention.rlike(rf"^(?:{_TITLE})\.? {_NAME}(?: {_NAME})?$"), "name")
     out = out.when(mention.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+$"), "iban").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     out = out.when(mention.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})$"), "card")
     return out.when(mention.rlike(r"^[+(\d][\d .()+-]*$") & (F.length(F.regexp_replace(mention, r"\D", "")) <= 13), "phone").otherwise("secret")
 
 
+def _bare(mention: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", "")
+
+
+def _toneless(surname: Column) -> Column:
+    return F.translate(surname, "άέήίόύώϊΐϋΰ", "αεηιουωιιυυ")
+
+
+def _masculine(surname: Column) -> Column:
+    """The masculine form, in lower case and Greek without accents, of a surname."""
+    out = _toneless(surname)
+    for ending, own in [x for rules in _FEMININE.values() for x in rules]:
+        out = F.regexp_replace(out, ending, own)
+    return out
+
+
 def entities(mentions: DataFrame) -> DataFrame:
     """mentions (column mention) with kind_1, canon_1 and, for names of two words, kind_2, canon_2."""
     m, kind = F.col("mention"), F.col("_kind")
-    bare = F.regexp_replace(m, rf"^(?:{_TITLES['m']}|{_TITLES['f']})\.? ", "")
-    gender = F.when(m.rlike(rf"^(?:{_TITLES['m']})\.? "), "m").otherwise("f")
-    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    bare = _bare(m)
     two = (kind == "name") & bare.contains(" ")
-    digits, first, last = F.regexp_replace(m, r"\D", ""), F.lower(F.substring_index(bare, " ", 1)), F.lower(F.substring_index(bare, " ", -1))
-    canon = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "name", first).otherwise(m)
-    surname = F.concat(F.lit("surname_"), script)
+    by_ending = F.when(F.substring_index(bare, " ", 1).rlike("[aаяαη]$"), "f").otherwise("m")
+    gender = F.when(m.rlike(rf"^(?:{_TITLES['m']})\.? "), "m").when(m.rlike(rf"^(?:{_TITLES['f']})\.? "), "f").otherwise(by_ending)
+    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    digits, first, last = F.regexp_replace(m, r"\D", ""), F.lower(F.substring_index(bare, " ", 1)), _masculine(F.lower(F.substring_index(bare, " ", -1)))
+    canon = F.when(kind == "email", F.lower(m)).when(kind == "ip6", _ip6_groups(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "name", F.when(two, first).otherwise(last)).otherwise(m)
+    plain = (script == "cyrillic") & ~last.rlike(_MASCULINE_CYRILLIC)
+    surname = F.when(plain, "surname_plain").otherwise(F.concat(F.lit("surname_"), script))
     out = mentions.withColumn("_kind", _kind(m))
     return out.select(
         *mentions.columns, F.when(two, F.concat_ws("_", F.lit("given"), gender, script)).when(kind == "name", surname).otherwise(kind).alias("kind_1"),
@@ -149,10 +214,13 @@ def _shape(kind: Column, canon: Column, domain: Column) -> Column:
 
     def choices(c: Column, i: Column) -> Column:
         small = F.lower(c)
-        letters = F.when(hexadecimal & small.between("a", "f"), F.lit("abcdef")).when(small.between("a", "z"), F.lit(_LATIN)).when(small.rlike(r"\p{IsCyrillic}"), F.lit(_CYRILLIC)).when(small.rlike(r"\p{IsLatin}"), F.lit(_LATIN))
+        letters = F.when(hexadecimal & small.between("a", "f"), F.lit("abcdef")).when(small.between("a", "z"), F.lit(_LATIN))
+        for script, alphabet in _ALPHABETS.items():
+            letters = letters.when(small.rlike(script), F.lit(alphabet))
         letters = F.when(c != small, F.upper(letters)).otherwise(letters)
         digits = F.when((kind == "phone") & (i == 0), F.lit("23456789")).otherwise(F.lit("0123456789"))
-        return F.when(c.between("0", "9"), digits).otherwise(F.coalesce(letters, c))
+        ip6 = F.when(c.isin("0", ":"), c).otherwise(F.lit("123456789abcdef"))
+        return F.when(kind == "ip6", ip6).when(c.between("0", "9"), digits).otherwise(F.coalesce(letters, c))
 
     return F.struct(kind.alias("kind"), head.alias("head"), F.transform(F.split(body, ""), choices).alias("places"), F.when(kind == "email", F.concat(F.lit("@"), domain)).otherwise(F.lit("")).alias("tail"), luhn.alias("luhn"))
 
@@ -239,18 +307,40 @@ def _filled(mention: Column, pattern: str, core_1: Column) -> Column:
     return F.aggregate(F.split(mention, ""), start, put)["text"]
 
 
+def _declined(mention: Column, surname: Column) -> Column:
+    """A surname's core with the ending of the mention's gender."""
+    last = _toneless(F.lower(mention))
+    cyrillic = F.lit(False)
+    for ending, _ in _FEMININE["cyrillic"]:
+        cyrillic = cyrillic | last.rlike(ending)
+    greek = mention.rlike(rf"^(?:{_TITLES['f']})\.? ")
+    for ending, _ in _FEMININE["greek"]:
+        greek = greek | last.rlike(ending)
+    return F.when(surname.rlike("ов$") & cyrillic, F.concat(surname, F.lit("а"))).otherwise(F.regexp_replace(surname, "ιδης$", F.when(greek, "ίδου").otherwise("ίδης")))
+
+
+def _new_name(mention: Column, core_1: Column, core_2: Column) -> Column:
+    """The surrogate of a name, without its title."""
+    one, two = F.when(core_2.isNull(), _declined(mention, core_1)).otherwise(core_1), _declined(mention, core_2)
+    return F.concat_ws(" ", F.initcap(one), F.initcap(two))
+
+
 def rendered(kind: Column, mention: Column, core_1: Column, core_2: Column) -> Column:
-    title = F.regexp_extract(mention, rf"^(?:{_TITLES['m']}|{_TITLES['f']})\.? ", 0)
-    name = F.concat_ws(" ", F.initcap(core_1), F.initcap(core_2))
+    title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
     return (
         F.when(kind == "email", _like(mention, core_1))
         .when(kind.isin("phone", "card", "ssn"), _filled(mention, "0-9", core_1))
         .when(kind == "iban", _filled(mention, "0-9A-Z", core_1))
+        .when(kind == "ip6", _ip6_like(mention, core_1))
         .when(kind.isin("ip", "secret"), core_1)
-        .otherwise(F.concat(title, name))
+        .otherwise(F.concat(title, _new_name(mention, core_1, core_2)))
     )
 
 
+def _whole(name: Column) -> Column:
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(r"(?![\p{L}\p{N}])"))
+
+
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) and kinds (distinct, sorted), one row a document.
 
@@ -267,10 +357,16 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     map_1 = map_1.select(F.col("kind").alias("kind_1"), F.col("canon").alias("canon_1"), F.col("core").alias("core_1"))
     single = found.where("kind_2 IS NULL").join(map_1, ["kind_1", "canon_1"]).withColumn("core_2", F.lit(None).cast("string"))
     double = found.where("kind_2 IS NOT NULL").join(map_1, ["kind_1", "canon_1"]).join(map_2, ["kind_2", "canon_2"])
-    new = single.unionByName(double).select("row", "at", F.regexp_extract("kind_1", "^[a-z]+", 0).alias("kind"), rendered(F.col("kind_1"), F.col("mention"), F.col("core_1"), F.col("core_2")).alias("new"))
-    of_row = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    m, c1, c2 = F.col("mention"), F.col("core_1"), F.col("core_2")
+    full = F.when(c2.isNotNull(), F.struct(_bare(m).alias("old"), _new_name(m, c1, c2).alias("new")))
+    new = single.unionByName(double).select("row", "at", F.regexp_extract("kind_1", "^[a-z0-9]+", 0).alias("kind"), rendered(F.col("kind_1"), m, c1, c2).alias("new"), full.alias("full"))
+    of_row = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.collect_set("full")).alias("names"))
+    # full names of the document that stand without a title, between the mentions
+    untitled = F.aggregate("names", F.lit(0), lambda n, x: n + F.aggregate("gaps", F.lit(0), lambda k, g: k + F.regexp_count(g, _whole(x["old"]))))
+    gaps = F.transform("gaps", lambda g: F.aggregate("names", g, lambda t, x: F.regexp_replace(t, _whole(x["old"]), x["new"])))
+    of_row = hits.join(of_row, "row").select("doc_id", "new", "kinds", (F.size("new") + untitled).cast("long").alias("n_entities"), F.when(F.size("names") > 0, gaps).otherwise(F.col("gaps")).alias("gaps"))
     text = F.concat(F.array_join(F.zip_with(F.slice("gaps", F.lit(1), F.size("new")), "new", lambda g, n: F.concat(g, n["new"])), ""), F.element_at("gaps", -1))
-    changed = hits.join(of_row, "row").select("doc_id", text.alias("text"), F.size("new").cast("long").alias("n_entities"), "kinds")
+    changed = of_row.select("doc_id", text.alias("text"), "n_entities", "kinds")
     return docs.where(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds")).union(changed)
 
 
