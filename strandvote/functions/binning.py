@@ -53,8 +53,10 @@ def bin_even(df: DataFrame, metrics: list[str], n: int, lo: float | None = None,
     return out.drop(*limits.columns)
 
 
-def bin_1d(df: DataFrame, metric: str, n: int = 20, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """B1."""
+def bin_1d(df: DataFrame, metric: str, n: int = 20, lo: float | None = None, hi: float | None = None, strict: bool = False) -> DataFrame:
+    """B1. strict: no rows are an error."""
+    if strict and df.isEmpty():
+        raise ValueError(f"no rows to bin by {metric}")
     return bin_even(df, [metric], n, lo, hi)
 
 
@@ -68,8 +70,10 @@ def bin_3d(df: DataFrame, metrics: list[str], n: int = 10) -> DataFrame:
     return bin_even(df, metrics[:3], n)
 
 
-def bin_focused(df: DataFrame, metric: str, n: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """B2: bin_1 from 1 to n inside [lo, hi); 0 below, n + 1 from hi on."""
+def bin_focused(df: DataFrame, metric: str, n: int, lo: float | None = None, hi: float | None = None, strict: bool = False) -> DataFrame:
+    """B2: bin_1 from 1 to n inside [lo, hi); 0 below, n + 1 from hi on. strict: no rows are an error."""
+    if strict and df.isEmpty():
+        raise ValueError(f"no rows to bin by {metric}")
     limits = _bounds(df, [metric], lo, hi)
     inside = digitize(metric, edges(F.col("lo_1"), F.col("hi_1"), n))
     b = F.when(F.col(metric) < F.col("lo_1"), 0).when(F.col(metric) > F.col("hi_1"), n + 1).otherwise(inside)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import edges, histogram_bin
 from ..functions.text import seed_of
-from .filters import confidence
+from .filters import confidence, exact_quantile
 
 
 def _grid(df: DataFrame, edge_array: Column, n: int) -> DataFrame:
@@ -84,16 +84,23 @@ def kde_marginals(df: DataFrame, metric: str, points: int = 200, cut: float = 3.
 
 def quantile_marker(df: DataFrame, metric: str, kind: str, key: str = "iteration") -> DataFrame:
     """By iteration the 0.2 quantile of an rmsd, else the 0.8 quantile."""
-    return df.groupBy(key).agg(F.percentile(metric, F.lit(0.2 if kind == "rmsd" else 0.8)).alias("marker"))
+    return df.select(key).distinct().join(exact_quantile(df, metric, 0.2 if kind == "rmsd" else 0.8, [key], "marker"), key, "left")
 
 
 def summary(df: DataFrame, metric: str) -> DataFrame:
     """A12."""
-    return df.agg(F.avg(metric).alias("mean"), F.median(metric).alias("median"))
+    return df.agg(F.avg(metric).alias("mean")).crossJoin(F.broadcast(exact_quantile(df, metric, 0.5, name="median")))  # one row
 
 
-def arm_metrics(pred: DataFrame, control: DataFrame, m1: str, m2: str, threshold: float = 0.0) -> DataFrame:
-    """Arm, bin_label, PDB, seed, m1, m2 and plddt of both arms above the confidence threshold."""
+def arm_metrics(pred: DataFrame, control: DataFrame, m1: str, m2: str | None, threshold: float = 0.0) -> DataFrame:
+    """Arm, bin_label, PDB, seed, m1, m2 and plddt of both arms above the confidence threshold.
+
+    An arm of a bin is left out if all of its second metrics are null; without a second metric there is nothing to compare.
+    """
+    if m2 is None:
+        return arm_metrics(pred, control, m1, m1, threshold).limit(0)
     arm = lambda df, name: df.withColumn("arm", F.lit(name))
     both = arm(pred, "prediction").unionByName(arm(control, "control"), allowMissingColumns=True).where(F.col("plddt") > threshold)
+    some = both.groupBy("arm", "bin_label").agg(F.count(m2).alias("_some")).where("_some > 0")  # a row a bin
+    both = both.join(some, ["arm", "bin_label"], "left_semi")
     return both.select("arm", "bin_label", "PDB", seed_of(F.col("PDB").cast("string")).alias("seed"), F.col(m1).alias("m1"), F.col(m2).alias("m2"), "plddt")

@@ -14,8 +14,8 @@ def last_wins(rows: DataFrame, keys: list[str], order: str = "pos", value: str =
 
 
 def distinct_entries(rows: DataFrame, query: str = "101", order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """A10: distinct (header, cleaned sequence) at the first place of each; rows of the query go."""
-    clean = rows.where(header_key("header") != query).withColumn("seq", strict_residues("seq"))
+    """A10: distinct (header, cleaned sequence) at the first place of each; rows of the query, without a header or with nothing left of their sequence go."""
+    clean = rows.where((F.col("header") != "") & (header_key("header") != query)).withColumn("seq", strict_residues("seq")).where("seq <> ''")
     return clean.groupBy("header", "seq").agg(F.min(F.struct(*order)).alias("_first")).select("_first.*", "header", "seq")
 
 

@@ -56,21 +56,33 @@ def _dot(u: list[Column], v: list[Column]) -> Column:
     return sum((p * q for p, q in zip(u, v, strict=True)), F.lit(0.0))
 
 
+def _distance_sums(set1: list[int], set2: list[int], chain: str = "A", prefix: str = "") -> tuple[list[Column], Column]:
+    """Aggregates of atoms, and the distance as a column of them."""
+    own, a, b = (F.col("chain") == chain) & (F.col("model") == 1), f"{prefix}a", f"{prefix}b"
+    d = _vector(a, b)
+    whole = (F.col(f"{a}_n") == len(set(set1))) & (F.col(f"{b}_n") == len(set(set2)))
+    return [*center_columns(a, set1, own), *center_columns(b, set2, own)], F.when(whole, F.sqrt(_dot(d, d)))
+
+
 def residue_distance(atoms: DataFrame, set1: list[int], set2: list[int], chain: str = "A", name: str = "distance") -> DataFrame:
     """G1: distance of the centres of two residue sets in the first model; null if any residue is missing."""
-    own = (F.col("chain") == chain) & (F.col("model") == 1)
-    sums = atoms.groupBy(KEY).agg(*center_columns("a", set1, own), *center_columns("b", set2, own))
-    d = _vector("a", "b")
-    whole = (F.col("a_n") == len(set(set1))) & (F.col("b_n") == len(set(set2)))
-    return sums.select(KEY, F.when(whole, F.sqrt(_dot(d, d))).alias(name))
+    sums, value = _distance_sums(set1, set2, chain)
+    return atoms.groupBy(KEY).agg(*sums).select(KEY, value.alias(name))
+
+
+def _angle_sums(domain1: list[int], domain2: list[int], hinge: list[int], prefix: str = "") -> tuple[list[Column], Column]:
+    """Aggregates of atoms, and the angle as a column of them."""
+    a, b, h = (f"{prefix}{x}" for x in "abh")
+    u, v = _vector(a, h), _vector(b, h)
+    cosine = F.try_divide(_dot(u, v), F.sqrt(_dot(u, u)) * F.sqrt(_dot(v, v)))
+    value = F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+    return [*center_columns(a, domain1), *center_columns(b, domain2), *center_columns(h, hinge)], value
 
 
 def domain_angle(atoms: DataFrame, domain1: list[int], domain2: list[int], hinge: list[int], name: str = "angle") -> DataFrame:
     """Angle in degrees at the hinge's centre; missing residues are passed over, an empty set gives null."""
-    sums = atoms.groupBy(KEY).agg(*center_columns("a", domain1), *center_columns("b", domain2), *center_columns("h", hinge))
-    u, v = _vector("a", "h"), _vector("b", "h")
-    cosine = F.try_divide(_dot(u, v), F.sqrt(_dot(u, u)) * F.sqrt(_dot(v, v)))
-    return sums.select(KEY, F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))).alias(name))
+    sums, value = _angle_sums(domain1, domain2, hinge)
+    return atoms.groupBy(KEY).agg(*sums).select(KEY, value.alias(name))
 
 
 def _points(df: DataFrame, prefix: str, chain: str | None, keys: list[str]) -> DataFrame:
@@ -170,14 +182,14 @@ def protein_sequence(atoms: DataFrame) -> DataFrame:
     return found.groupBy(KEY).agg(F.array_join(F.transform(letters, lambda s: s["letter"]), "").alias("seq"))
 
 
-def _distance(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
+def _distance(c: dict, prefix: str) -> tuple[list[Column], Column]:
     i = c["indices"]
-    return residue_distance(atoms, expand_indices(i["set1"]), expand_indices(i["set2"]), name=c["name"])
+    return _distance_sums(expand_indices(i["set1"]), expand_indices(i["set2"]), prefix=prefix)
 
 
-def _angle(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
+def _angle(c: dict, prefix: str) -> tuple[list[Column], Column]:
     i = c["indices"]
-    return domain_angle(atoms, *[expand_indices(i[k]) for k in ("domain1", "domain2", "hinge")], name=c["name"])
+    return _angle_sums(*[expand_indices(i[k]) for k in ("domain1", "domain2", "hinge")], prefix=prefix)
 
 
 def _rmsd(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
@@ -190,26 +202,32 @@ def _tm(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
     return tm_score_paired(atoms, refs[c["ref_pdb"]], name=c["name"])
 
 
-#: Metric of each criterion type; more can be added.
-METRICS: dict[str, Callable[[DataFrame, dict, dict, list[int]], DataFrame]] = {"distance": _distance, "angle": _angle, "rmsd": _rmsd, "all_atom_rmsd": _rmsd, "tmscore": _tm}
+#: Aggregates and value of the criterion types that one pass over the atoms serves.
+CENTRED: dict[str, Callable[[dict, str], tuple[list[Column], Column]]] = {"distance": _distance, "angle": _angle}
+#: Metric of the other types, which superpose; more can be added.
+SUPERPOSED: dict[str, Callable[[DataFrame, dict, dict, list[int]], DataFrame]] = {"rmsd": _rmsd, "all_atom_rmsd": _rmsd, "tmscore": _tm}
 
 
 def all_metrics(atoms: DataFrame, refs: dict[str, DataFrame], criteria: dict, threshold: float = 0.0, drop_incomplete: bool = False) -> DataFrame:
     """PDB, plddt, [local_plddt] and a column a criterion, of structures above the confidence threshold.
 
-    Confidence is filtered first and the costly metrics see only the structures that pass. Unknown types
-    are skipped. A metric that can't be computed is null; drop_incomplete drops such rows, but for distances.
+    Confidence and the sums behind all distances and angles come from one pass of conditional aggregates; the
+    superpositions see only the atoms of structures that pass. Unknown types are skipped. A metric that can't be computed is null; drop_incomplete drops such rows, but for distances.
     """
     basics = criteria.get("basics", {})
-    whole = expand_indices(basics.get("full_index"))
-    out = plddt(atoms, whole, expand_indices(basics.get("local_index")) or None).where((F.col("plddt") > threshold) & (F.col("plddt") != 0))
+    whole, local = expand_indices(basics.get("full_index")), expand_indices(basics.get("local_index"))
+    known = [c for c in criteria["filter_criteria"] if c["type"] in CENTRED or c["type"] in SUPERPOSED]
+    centred = {i: CENTRED[c["type"]](c, f"_{i}") for i, c in enumerate(known) if c["type"] in CENTRED}
+    ca = (F.col("record") == "ATOM") & (F.col("atom_name") == "CA")
+    mean = lambda residues: F.avg(F.when(ca & F.col("res_seq").isin(list(residues)), F.col("b_factor")))
+    sums = atoms.groupBy(KEY).agg(mean(whole).alias("plddt"), *([mean(local).alias("local_plddt")] if local else []), *[s for sums, _ in centred.values() for s in sums])
+    out = sums.where((F.col("plddt") > threshold) & (F.col("plddt") != 0))
+    out = out.select(KEY, "plddt", *(["local_plddt"] if local else []), *[value.alias(known[i]["name"]) for i, (_, value) in centred.items()])
     kept = atoms.join(out.select(KEY), KEY, "left_semi")
-    needed = []
-    for c in criteria["filter_criteria"]:
-        if c["type"] in METRICS:
-            values = METRICS[c["type"]](kept, refs, c, whole)
-            name = F.col(c["name"])
-            out = out.join(values.withColumn(c["name"], F.when(~F.isnan(name), name)), KEY, "left")
-            needed += [c["name"]] if c["type"] != "distance" else []
+    for i, c in enumerate(known):
+        if i not in centred:
+            out = out.join(SUPERPOSED[c["type"]](kept, refs, c, whole), KEY, "left")
+    out = out.select(KEY, "plddt", *(["local_plddt"] if local else []), *[F.when(~F.isnan(c["name"]), F.col(c["name"])).alias(c["name"]) for c in known])
+    needed = [c["name"] for c in known if c["type"] != "distance"]
     out = out.dropna(subset=needed) if drop_incomplete and needed else out
     return out.withColumnRenamed(KEY, "PDB")

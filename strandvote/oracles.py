@@ -12,7 +12,8 @@ METRIC = """metric AS (
          CAST(o_orderkey % 3 AS INTEGER) AS round, CASE WHEN o_orderkey % 2 = 0 THEN 'prediction' ELSE 'control' END AS arm
   FROM orders JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS metric2, round(2 * avg(l_quantity), 6) AS plddt, count(*) AS seq_count
                     FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
-SOURCE = "source AS (SELECT p_partkey AS pos, p_partkey AS header, concat_ws('-', upper(p_brand), p_type) AS seq FROM part WHERE p_size < 40)"
+SOURCE = "source AS (SELECT p_partkey AS pos, p_partkey AS header, concat_ws('-', upper(p_brand), p_type) AS seq FROM part)"
+OTHER = "source AS (SELECT p_partkey AS pos, p_partkey AS header, concat_ws('-', upper(p_brand), p_type) AS seq FROM part WHERE p_partkey % 5 <> 0)"
 MSA = "msa AS (SELECT doc_id AS pos, '>d' || doc_id || ' ' || source AS line, text AS seq FROM documents)"
 CHOSEN = "chosen AS (SELECT p_partkey AS header, -p_partkey AS pos FROM part WHERE p_retailprice > 950)"
 
@@ -38,11 +39,11 @@ def _bounded(*names: str, where: str = "true") -> str:
 FOCUSED = f"CAST(CASE WHEN metric1 < 50000 THEN 0 WHEN metric1 > 300000 THEN {BINS + 1} ELSE {_digitize('metric1', _edges('50000', '300000', BINS))} END AS INTEGER)"
 
 
-def _vote(binned: str, bins: int = 1, where: str = "true") -> str:
+def _vote(binned: str, bins: int = 1, where: str = "true", source: str = SOURCE) -> str:
     names = [f"bin_{i}" for i in range(1, bins + 1)]
     out = ["Bin_Assignment"] if bins == 1 else [f"Bin_Assignment_{i}" for i in range(1, bins + 1)]
     cols = ", ".join(names)
-    return f"""WITH {MEMBER}, {METRIC}, {SOURCE}, binned AS ({binned}),
+    return f"""WITH {MEMBER}, {METRIC}, {source}, binned AS ({binned}),
 counts AS (SELECT m.header, {cols}, count(*) AS n FROM member m JOIN binned b USING (structure_id) WHERE m.header IN (SELECT header FROM source) GROUP BY m.header, {cols}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY n DESC, {cols}) AS k, sum(n) OVER (PARTITION BY header) AS total FROM counts),
 result AS (SELECT header AS Sequence_Header, {", ".join(f"{a} AS {b}" for a, b in zip(names, out, strict=True))}, n AS Vote_Count, CAST(total AS BIGINT) AS Total_Votes FROM ranked WHERE k = 1 AND {where})"""
@@ -153,7 +154,7 @@ _ARMS = f"""WITH {METRIC}, {_PATHS}, arms AS (SELECT arm, 'bin_' || structure_id
 ORACLE_SQL = {
     "vote_1d": _vote(f"SELECT structure_id, {_even('metric1', BINS)} AS bin_1 FROM {_bounded('metric1')}") + " SELECT * FROM result",
     "vote_focused": VOTE_FOCUSED + " SELECT * FROM result",
-    "vote_threshold": _vote(f"SELECT structure_id, {_even('metric1', BINS)} AS bin_1 FROM {_bounded('metric1', where='plddt > 40')}", where="n / total >= 0.15") + " SELECT * FROM result",
+    "vote_threshold": _vote(f"SELECT structure_id, {_even('metric1', BINS)} AS bin_1 FROM {_bounded('metric1', where='plddt > 40')}", where="n / total >= 0.15", source=OTHER) + " SELECT * FROM result",
     "vote_2d": _vote(f"SELECT structure_id, {_even('metric1', 10)} AS bin_1, {_even('metric2', 10)} AS bin_2 FROM {_bounded('metric1', 'metric2')}", 2) + " SELECT * FROM result",
     "vote_3d": _vote(f"SELECT structure_id, {_even('metric1', 10)} AS bin_1, {_even('metric2', 10)} AS bin_2, {_even('plddt', 10)} AS bin_3 FROM {_bounded('metric1', 'metric2', 'plddt')}", 3) + " SELECT * FROM result",
     "raw_votes": VOTES + " SELECT header, array_to_string(list_sort(list(bin)), ',') AS bins FROM votes GROUP BY header",
@@ -170,16 +171,16 @@ LEFT JOIN result ON least(Bin_Assignment, {BINS}) = b AND Bin_Assignment BETWEEN
     "strip_insertions": f"WITH {MSA} SELECT pos, regexp_replace(seq, '\\p{{Ll}}', '', 'g') AS seq FROM msa",
     "strict_residues": f"WITH {MSA} SELECT pos, regexp_replace(seq, '[^\\p{{Lu}}-]', '', 'g') AS seq FROM msa",
     "parse_a3m": """WITH lines AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-records AS (SELECT file_id, i AS pos, 'd' || (i - 1) % 7 AS header, regexp_replace(regexp_replace(substr(s, 1, 80), '\\s', '', 'g'), '\\p{Ll}', '', 'g') AS seq FROM lines)
+records AS (SELECT file_id, i AS pos, 'd' || (i - 1) % 7 AS header, regexp_replace(regexp_replace(replace(s, '>', ')'), '\\s', '', 'g'), '\\p{Ll}', '', 'g') AS seq FROM lines)
 SELECT file_id, min(pos) AS pos, header, arg_max(seq, pos) AS seq FROM records GROUP BY file_id, header""",
     "last_wins": """WITH r AS (SELECT l_partkey AS header, CAST(l_orderkey * 1000 + l_linenumber * 100 + l_quantity AS BIGINT) AS pos FROM lineitem)
 SELECT header, min(pos) AS pos, max(pos) % 97 AS seq FROM r GROUP BY header""",
-    "distinct_entries": """WITH r AS (SELECT doc_id AS pos, 'd' || doc_id % 50 AS header, regexp_replace(substr(text, 1, 3), '[^\\p{Lu}-]', '', 'g') AS seq FROM documents)
-SELECT min(pos) AS pos, header, seq FROM r WHERE header <> 'd7' GROUP BY header, seq""",
+    "distinct_entries": """WITH r AS (SELECT doc_id AS pos, 'd' || doc_id % 50 AS header, regexp_replace(text, '[^\\p{Lu}-]', '', 'g') AS seq FROM documents)
+SELECT min(pos) AS pos, header, seq FROM r WHERE header <> 'd7' AND seq <> '' GROUP BY header, seq""",
     "header_set": "SELECT DISTINCT source AS header FROM documents",
-    "map_and_extract": f"WITH {SOURCE}, {CHOSEN} SELECT c.pos, header, seq FROM chosen c JOIN source s USING (header)",
-    "missing_headers": f"WITH {SOURCE}, {CHOSEN} SELECT header FROM chosen WHERE header NOT IN (SELECT header FROM source)",
-    "compile_sequences": f"WITH {SOURCE}, {CHOSEN} SELECT pos, header, seq FROM source WHERE header IN (SELECT header FROM chosen)",
+    "map_and_extract": f"WITH {OTHER}, {CHOSEN} SELECT c.pos, header, seq FROM chosen c JOIN source s USING (header)",
+    "missing_headers": f"WITH {OTHER}, {CHOSEN} SELECT header FROM chosen WHERE header NOT IN (SELECT header FROM source)",
+    "compile_sequences": f"WITH {OTHER}, {CHOSEN} SELECT pos, header, seq FROM source WHERE header IN (SELECT header FROM chosen)",
     "control_sample": f"WITH {SOURCE} SELECT pos, header FROM source ORDER BY {_key(chr(39) + '7' + chr(39), chr(39) + '0' + chr(39))}, header LIMIT 300",
     "random_select": f"WITH {SOURCE} SELECT header FROM source ORDER BY {_key(chr(39) + '3' + chr(39), chr(39) + '0' + chr(39))}, header LIMIT 500",
     "shuffle_groups": f"""WITH {SOURCE}, r AS (SELECT CAST(s AS INTEGER) AS shuffle, header, row_number() OVER (PARTITION BY s ORDER BY md5('42|' || s || '|' || header), header) AS rank FROM source, range(1, 5) t(s))
@@ -242,4 +243,24 @@ SELECT 'control', bin_label, pos, header FROM drawn JOIN (SELECT bin_label, coun
     "union_rounds": f"WITH {METRIC} SELECT round, count(*) AS structures, max(metric1) AS top FROM metric GROUP BY 1",
     "merge_metric_files": """SELECT l_orderkey AS PDB, max(CASE WHEN l_returnflag <> 'N' THEN CAST(l_linenumber AS DOUBLE) END) AS m1, max(CASE WHEN l_linestatus = 'O' THEN l_linenumber * CAST(2 AS DOUBLE) END) AS m2 FROM lineitem GROUP BY 1""",
     "job_log_status": "SELECT 'job_' || user_id AS dir, bool_or(event_type = 'purchase') AS done FROM events GROUP BY 1",
+    "combine_by_rmsd": f"WITH {METRIC} SELECT structure_id FROM metric WHERE metric2 < 100000",
+    "select_metrics": f"WITH {METRIC} SELECT structure_id, metric2 FROM metric",
+    "order_by_confidence": f"WITH {METRIC} SELECT structure_id, plddt FROM metric ORDER BY plddt",
+    "prepare_iteration": f"""WITH {MSA}, kept AS (SELECT 'd' || pos AS header FROM msa WHERE 1 - (length(seq) - length(replace(replace(seq, ' ', '-'), '-', ''))) / (SELECT CAST(arg_min(length(seq), pos) AS DOUBLE) FROM msa) >= 0.5),
+r AS (SELECT CAST(s AS INTEGER) AS shuffle, header, row_number() OVER (PARTITION BY s ORDER BY md5('3|' || s || '|' || header), header) AS rank FROM kept, range(1, 3) t(s))
+SELECT shuffle, CAST((rank + 15) // 16 AS INTEGER) AS "group", rank, header FROM r""",
+    "concat_groups": f"""WITH {MEMBER}, {_ENTRIES}, e AS (SELECT header, CAST(structure_id % 3 AS INTEGER) AS file_rank, pos FROM entries WHERE structure_id % 3 < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY file_rank, pos) AS k FROM e)
+SELECT file_rank, pos, header, 'S' AS seq FROM r WHERE k = 1""",
+    "superposed_metrics": f"""WITH {CA}, {_pairs('p', 'ca', 'res_seq')}, s AS (SELECT * FROM p WHERE res_seq <= 11), {_pose('s')}, {_moved('p')},
+fit AS (SELECT structure_id, round(sqrt(avg(d2)), 6) AS fit FROM moved GROUP BY 1),
+tm AS (WITH {_pose('p')}, {_moved('p')} SELECT structure_id, round(sum(1 / (1 + d2 / pow(greatest(0.5, 1.24 * cbrt(6) - 1.8), 2))) / 21, 6) AS tm FROM moved GROUP BY 1)
+SELECT structure_id AS PDB, CAST(structure_id % 100 AS DOUBLE) AS plddt, fit, tm FROM fit JOIN tm USING (structure_id) WHERE structure_id % 100 > 30""",
+    "combined_manifest": VOTE_FOCUSED + """ SELECT arm, 'bin_1_5_9' AS bin_label, p || 'bin_1_5_9' AS job FROM (VALUES ('prediction', 'pred_'), ('control', 'ctrl_pred_')) t(arm, p)
+WHERE (SELECT count(*) FROM result WHERE Bin_Assignment IN (1, 5, 9)) > 0""",
+    "recompile_combined": VOTE_FOCUSED + """, chosen AS (SELECT s.pos, s.header FROM result JOIN source s ON Sequence_Header = s.header WHERE Bin_Assignment IN (1, 5, 9)),
+drawn AS (SELECT pos, header, row_number() OVER (ORDER BY md5('11|0|' || header), header) AS rank FROM source)
+SELECT 'prediction' AS arm, 'bin_1_5_9' AS bin_label, pos, header FROM chosen UNION ALL
+SELECT 'control', 'bin_1_5_9', pos, header FROM drawn WHERE rank <= (SELECT count(*) FROM chosen)""",
+    "union_iterations": f"WITH {METRIC} SELECT iteration, count(*) AS structures, max(metric1) AS top FROM metric WHERE iteration <= 1996 GROUP BY 1",
 }

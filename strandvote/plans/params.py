@@ -15,6 +15,7 @@ class Enrichment:
     combine_threshold: float = 0.5
     coverage: float = 0.8
     select: int | None = None
+    criteria: tuple[str, ...] = ()
     seed: int = 42
 
 

@@ -18,13 +18,19 @@ def union_rounds(metrics: DataFrame, path: str = "PDB") -> DataFrame:
     return metrics.withColumn("round", round_of(path)).where("round IS NOT NULL")
 
 
-def union_iterations(metrics: DataFrame, path: str = "PDB") -> DataFrame:
-    """Metrics of all iterations with their iteration, from the path."""
-    return metrics.withColumn("iteration", iteration_of(path)).where("iteration IS NOT NULL")
+def union_iterations(metrics: DataFrame, path: str = "PDB", metric: str | None = None) -> DataFrame:
+    """Metrics of all iterations with their iteration, from the path. metric: iterations without any value of it are left out."""
+    rows = metrics.withColumn("iteration", iteration_of(path)).where("iteration IS NOT NULL")
+    if metric is None:
+        return rows
+    some = rows.groupBy("iteration").agg(F.count(metric).alias("_some")).where("_some > 0")  # a row an iteration
+    return rows.join(some, "iteration", "left_semi")
 
 
 def concat_groups(groups: list[DataFrame]) -> DataFrame:
-    """U4: members of several group tables, each entry once."""
+    """U4: members of several group tables, each entry once; no table is an error."""
+    if not groups:
+        raise ValueError("no group tables")
     ranked = [g.select("header", "seq", F.lit(i).alias("file_rank"), "pos") for i, g in enumerate(groups)]
     return recompile.distinct_entries(reduce(DataFrame.unionByName, ranked), order=("file_rank", "pos"))
 
@@ -39,7 +45,8 @@ def prepare_iteration(msa: DataFrame, params: Enrichment, first: bool = True) ->
 
 
 def kept_groups(metrics: DataFrame, criteria: list[dict], params: Enrichment) -> DataFrame:
-    """Metrics of the structures that pass confidence and quantiles."""
+    """Metrics of the structures that pass confidence and the quantiles of the criteria that params name (F5); none of them: all."""
+    criteria = [c for c in criteria if c["name"] in params.criteria] or criteria
     sure = filters.filter_plddt(metrics, params.plddt)
     return filters.apply_filters(sure, sure, criteria, params.quantile)
 
@@ -109,6 +116,6 @@ def pair_arms(pred: DataFrame, control: DataFrame) -> DataFrame:
     return both.select("bin_label", F.coalesce("n_prediction", F.lit(0)).alias("n_prediction"), F.coalesce("n_control", F.lit(0)).alias("n_control"))
 
 
-def compare_arms(pred: DataFrame, control: DataFrame, m1: str, m2: str, params: Comparison) -> tuple[DataFrame, DataFrame]:
+def compare_arms(pred: DataFrame, control: DataFrame, m1: str, m2: str | None, params: Comparison) -> tuple[DataFrame, DataFrame]:
     """The paired labels and the metrics of both arms."""
     return pair_arms(pred, control), distributions.arm_metrics(pred, control, m1, m2, params.plddt)

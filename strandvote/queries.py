@@ -38,7 +38,7 @@ def vote_focused(s: SparkSession, d: str) -> DataFrame:
 
 
 def vote_threshold(s: SparkSession, d: str) -> DataFrame:
-    return stages.vote(v.members(s, d), v.metrics(s, d), v.source(s, d), "metric1", Voting(bins=BINS, threshold=0.15, plddt=40.0), KEYS)
+    return stages.vote(v.members(s, d), v.metrics(s, d), v.other_source(s, d), "metric1", Voting(bins=BINS, threshold=0.15, plddt=40.0), KEYS)
 
 
 def _vote_nd(s: SparkSession, d: str, names: list[str], binned: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def last_wins(s: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_entries(s: SparkSession, d: str) -> DataFrame:
-    rows = v.msa(s, d).select("pos", F.concat(F.lit("d"), (F.col("pos") % 50).cast("string")).alias("header"), F.substring("seq", 1, 3).alias("seq"))
+    rows = v.msa(s, d).select("pos", F.concat(F.lit("d"), (F.col("pos") % 50).cast("string")).alias("header"), "seq")
     return recompile.distinct_entries(rows, query="d7")
 
 
@@ -124,15 +124,15 @@ def _chosen(s: SparkSession, d: str) -> DataFrame:
 
 
 def map_and_extract(s: SparkSession, d: str) -> DataFrame:
-    return recompile.map_and_extract(_chosen(s, d), v.source(s, d)).select("pos", "header", "seq")
+    return recompile.map_and_extract(_chosen(s, d), v.other_source(s, d)).select("pos", "header", "seq")
 
 
 def missing_headers(s: SparkSession, d: str) -> DataFrame:
-    return recompile.missing_headers(_chosen(s, d), v.source(s, d)).select("header")
+    return recompile.missing_headers(_chosen(s, d), v.other_source(s, d)).select("header")
 
 
 def compile_sequences(s: SparkSession, d: str) -> DataFrame:
-    return recompile.compile_sequences(v.source(s, d), _chosen(s, d)).select("pos", "header", "seq")
+    return recompile.compile_sequences(v.other_source(s, d), _chosen(s, d)).select("pos", "header", "seq")
 
 
 def control_sample(s: SparkSession, d: str) -> DataFrame:
@@ -185,6 +185,24 @@ def combine_by_threshold(s: SparkSession, d: str) -> DataFrame:
     return filters.combine_by_threshold(v.metrics(s, d), ABOVE_BELOW[0], 200_000).select("structure_id")
 
 
+def combine_by_rmsd(s: SparkSession, d: str) -> DataFrame:
+    return filters.combine_by_threshold(v.metrics(s, d), ABOVE_BELOW[1], 100_000).select("structure_id")
+
+
+def select_metrics(s: SparkSession, d: str) -> DataFrame:
+    return filters.select_metrics(v.metrics(s, d), ["metric2", "absent"], KEYS)
+
+
+def order_by_confidence(s: SparkSession, d: str) -> DataFrame:
+    return sampling.order_by_confidence(v.metrics(s, d)).select("structure_id", "plddt")
+
+
+def prepare_iteration(s: SparkSession, d: str) -> DataFrame:
+    """The first iteration with its coverage filter; the gaps of the alignment are spaces."""
+    msa = v.msa(s, d).select("pos", F.concat(F.lit("d"), "pos").alias("header"), F.replace("seq", F.lit(" "), F.lit("-")).alias("seq"))
+    return stages.prepare_iteration(msa, Enrichment(shuffles=2, group_size=16, coverage=0.5, seed=3)).select("shuffle", "group", "rank", "header")
+
+
 def _entries(s: SparkSession, d: str) -> DataFrame:
     return v.members(s, d).select("structure_id", F.concat(F.lit("p"), F.col("header")).alias("header"), F.concat(F.lit("S"), F.lpad((F.col("header") % 13).cast("string"), 2, "0")).alias("seq"), (F.col("structure_id") * 10 + F.col("pos")).alias("pos"))
 
@@ -193,6 +211,11 @@ def enrich_step(s: SparkSession, d: str) -> DataFrame:
     return stages.enrich_step(_entries(s, d), v.metrics(s, d), ABOVE_BELOW[:1], Enrichment(plddt=50.0, quantile=0.2), KEYS)
 
 
+def concat_groups(s: SparkSession, d: str) -> DataFrame:
+    e = _entries(s, d)
+    return stages.concat_groups([e.where("structure_id % 3 = 0"), e.where("structure_id % 3 = 1")])
+
+
 def gather(s: SparkSession, d: str) -> DataFrame:
     return stages.gather(_entries(s, d), v.metrics(s, d), ABOVE_BELOW[0], 250_000, KEYS)
 
@@ -274,6 +297,18 @@ def all_metrics(s: SparkSession, d: str) -> DataFrame:
     return _rounded(structure.all_metrics(v.backbone_atoms(s, d), {}, criteria, threshold=30.0), "plddt", "local_plddt", "gap", "bend")
 
 
+def superposed_metrics(s: SparkSession, d: str) -> DataFrame:
+    criteria = {
+        "basics": {"full_index": {"start": 1, "end": 21}},
+        "filter_criteria": [
+            {"name": "fit", "type": "rmsd", "method": "below", "ref_pdb": "first", "superposition_indices": {"start": 1, "end": 11}},
+            {"name": "tm", "type": "tmscore", "method": "above", "ref_pdb": "first"},
+        ],
+    }
+    atoms = v.ca_atoms(s, d)
+    return _rounded(structure.all_metrics(atoms, {"first": _reference(atoms)}, criteria, threshold=30.0), "plddt", "fit", "tm")
+
+
 def pdb_atoms(s: SparkSession, d: str) -> DataFrame:
     atoms = structures.parse_atoms(v.pdb_lines(s, d))
     return atoms.select("structure_id", "line_no", "model", "atom_name", "res_name", "chain", "res_seq", "x", "y", "z", "b_factor", "element")
@@ -299,6 +334,14 @@ def recompile_bins(s: SparkSession, d: str) -> DataFrame:
     return stages.recompile_bins(vote_focused(s, d), v.source(s, d), Recompile(bins=(1, 5, 9), seed=11)).select("arm", "bin_label", "pos", "header")
 
 
+def combined_manifest(s: SparkSession, d: str) -> DataFrame:
+    return recompile.prediction_manifest(vote_focused(s, d), [9, 5, 1], combine=True)
+
+
+def recompile_combined(s: SparkSession, d: str) -> DataFrame:
+    return stages.recompile_bins(vote_focused(s, d), v.source(s, d), Recompile(bins=(9, 5, 1), combine=True, seed=11)).select("arm", "bin_label", "pos", "header")
+
+
 def _arm(s: SparkSession, d: str, name: str) -> DataFrame:
     m = v.metrics(s, d).where(F.col("arm") == name).join(v.paths(s, d), "structure_id")
     return m.select(F.concat(F.lit("bin_"), (F.col("structure_id") % (9 if name == "control" else 8)).cast("string")).alias("bin_label"), F.col("path").alias("PDB"), "metric1", "metric2", "plddt")
@@ -317,6 +360,12 @@ def union_rounds(s: SparkSession, d: str) -> DataFrame:
     return stages.union_rounds(m, "path").groupBy("round").agg(F.count("*").alias("structures"), F.max("metric1").alias("top"))
 
 
+def union_iterations(s: SparkSession, d: str) -> DataFrame:
+    """Iterations by year; those after 1996 have no value of metric1."""
+    m = v.metrics(s, d).select(F.concat(F.lit("run/Iteration_"), "iteration", F.lit("/x.pdb")).alias("PDB"), F.when(F.col("iteration") <= 1996, F.col("metric1")).alias("metric1"))
+    return stages.union_iterations(m, metric="metric1").groupBy("iteration").agg(F.count("*").alias("structures"), F.max("metric1").alias("top"))
+
+
 def merge_metric_files(s: SparkSession, d: str) -> DataFrame:
     lines = v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("PDB"), F.concat(F.lit("file_"), F.col("l_linenumber").cast("string")).alias("source"), F.when(F.col("l_returnflag") != "N", F.col("l_linenumber").cast("double")).alias("m1"), F.when(F.col("l_linestatus") == "O", F.col("l_linenumber") * 2.0).alias("m2"))
     return tables.merge_metric_files(lines, ["m1", "m2"])
@@ -335,6 +384,7 @@ QUERIES = {
         random_select, shuffle_groups, merge_tail_groups, leave_one_out, make_splits, m_fold_rounds, plddt, seq_count, filter_plddt, quantile_filter, combine_by_threshold,
         enrich_step, gather, hist_by_iteration, hist_1d, quantile_marker, summary, kde_marginals, scatter_table, center_of_mass, residue_distance, domain_angle, rmsd, ca_rmsd,
         ca_rmsd_two_sets, all_atom_rmsd, tm_score_paired, all_metrics, pdb_atoms, protein_sequence, path_keys, missing_predictions, prediction_manifest, recompile_bins,
-        arm_metrics, pair_arms, union_rounds, merge_metric_files, job_log_status,
+        arm_metrics, pair_arms, union_rounds, merge_metric_files, job_log_status, combine_by_rmsd, select_metrics, order_by_confidence, prepare_iteration, concat_groups,
+        superposed_metrics, combined_manifest, recompile_combined, union_iterations,
     )
 }

@@ -17,11 +17,12 @@ def read_a3m(spark: SparkSession, path: str) -> DataFrame:
 
     Records are split by Spark's reader at '\\n>', so one file is read by many tasks. Text before the
     first header is left out; of a repeated header the first place and the last sequence count. pos
-    orders the records of a file and has gaps.
+    orders the records of a file and has gaps: it is the first byte of the record's split plus its number in
+    that split, whose records have two bytes or more each. A window holds one split, not a file.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("msa_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     text = F.regexp_replace(F.replace(F.col("value"), F.lit("\r"), F.lit("")), r"^\n+", "")
-    ranked = raw.withColumn("pos", F.row_number().over(W.partitionBy("msa_id").orderBy("block", "id")).cast("long"))
+    ranked = raw.withColumn("pos", F.col("block") + F.row_number().over(W.partitionBy("msa_id", "block").orderBy("id")))
     # the reader leaves the '>' of a file's first record only; a first record without it is text before any header
     records = ranked.withColumn("record", text).where((F.col("pos") > 1) | F.col("record").startswith(">"))
     lines = F.split(F.regexp_replace("record", "^>", ""), "\n")
@@ -62,5 +63,6 @@ def write_combined(msa: DataFrame, path: str) -> None:
 
 
 def write_shuffle_order(ranked: DataFrame, path: str) -> None:
-    """K6: the whole alignment of each shuffle in shuffled order."""
-    write_a3m(ranked.withColumn("pos", F.col("rank").cast("long")), path, ["shuffle"])
+    """K6: the whole alignment of each shuffle in shuffled order: a folder a shuffle, whose files follow each other by name."""
+    rows = _records(ranked, F.col("header")).repartitionByRange("shuffle", "rank").sortWithinPartitions("shuffle", "rank")
+    rows.select("shuffle", "value").write.partitionBy("shuffle").text(path)

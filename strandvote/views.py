@@ -33,19 +33,24 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, header and seq of the source alignment."""
-    part = table(spark, sf_dir, "part").where("p_size < 40")
+    part = table(spark, sf_dir, "part")
     return part.select(F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("header"), F.concat_ws("-", F.upper("p_brand"), "p_type").alias("seq"))
 
 
+def other_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that lacks some headers of the groups, for the queries that show what becomes of those."""
+    return source(spark, sf_dir).where("header % 5 <> 0")
+
+
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, line (a header with a description) and seq of an alignment of texts; its gap character is a space."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.lit(">d"), F.col("doc_id"), F.lit(" "), F.col("source")).alias("line"), F.col("text").alias("seq"))
 
 
 def a3m_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id and text of one alignment file a document: a record a line of it."""
+    """file_id and text of one alignment file a document: a record a line of it, in pieces of 40 characters with empty lines between."""
     docs = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(F.lit(">d"), (i % 7).cast("string"), F.lit(" x\n"), F.substring(s, 1, 40), F.lit("\n\n"), F.substring(s, 41, 40)))
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(F.lit(">d"), (i % 7).cast("string"), F.lit(" x\n"), F.regexp_replace(F.replace(s, F.lit(">"), F.lit(")")), "(.{40})", "$1\n\n")))
     return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("before\n"), F.array_join(lines, "\n")).alias("text"))
 
 
