@@ -47,7 +47,7 @@ STAGES = [
     ("shards", shards),
 ]
 
-#: SQL can't express the trained classifier; tests hold the stages against brute force instead.
+#: SQL can't express the trained classifier. Near-duplicates and leaks are tested against brute force, mix and shards by SQL, the classifier by held-out labels.
 ORACLE_SQL = None
 
 
