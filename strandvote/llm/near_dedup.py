@@ -50,7 +50,8 @@ class Rule:
 #: 40 bands of 8 rows miss a pair at 0.85 with probability (1 - 0.85 ** 8) ** 40 = 3e-6, and few pairs far below it
 #: meet; 54 of 7 miss one at 0.8, the limit of a pipeline's stage on word shingles, as rarely.
 OP5, STAGE = Rule(85, 40, 8), Rule(80, 54, 7)
-PIVOTS = 2
+#: Pivots of a bucket, and the sets of masks that choose them, which bands use in turn.
+PIVOTS, MASKS = 2, 8
 HASHES, BATCH, MISS = OP5.hashes, 32, 1e-6
 #: Classes of a bucket that are paired with each other directly.
 SMALL = 24
@@ -115,17 +116,17 @@ def classes(rows: DataFrame) -> DataFrame:
 def bands(reps: DataFrame, rule: Rule = OP5) -> DataFrame:
     """node, n and key of the bands in which the class shares a bucket with another one, with the bucket's pivots.
 
-    A pivot is the member nearest to a mask, by exclusive or; masks differ by bucket, so a group of near
-    copies meets different members in different buckets.
+    A pivot is the member nearest to a mask, by exclusive or. A band uses one of MASKS sets of masks, so a group
+    of near copies meets some of its members, but not other ones in each bucket.
     """
     width = 2 * rule.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    rows = reps.select("node", "n", F.explode(keys).alias("key"))
-    mask = [F.xxhash64("key", F.lit(i)) for i in range(PIVOTS)]
+    rows = reps.select("node", "n", F.posexplode(keys).alias("band", "key")).withColumn("band", F.col("band") % MASKS)
+    mask = [F.xxhash64("band", F.lit(i)) for i in range(PIVOTS)]
     nearest = [F.min(F.col("node").bitwiseXOR(m)).alias(f"_p{i}") for i, m in enumerate(mask)]
-    buckets = rows.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), *nearest).where("_lo <> _hi")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.min("band").alias("band"), *nearest).where("_lo <> _hi")
     buckets = buckets.select("key", F.array_distinct(F.array(*[F.col(f"_p{i}").bitwiseXOR(m) for i, m in enumerate(mask)])).alias("pivots"))
-    return rows.join(buckets, "key")
+    return rows.drop("band").join(buckets, "key")
 
 
 def least_matches(limit: float = OP5.limit / 100, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
