@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .common import forget, fresh, joined, spread, table, written
-from .components import components
+from .components import components, grown
 
 WORDS = 5
 
@@ -313,8 +313,7 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rest = rest.union(_across_small(mixed.where(F.col("members") <= SMALL), rule)).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(sets, rest, rule).union(links), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    labels = grown(labels, more)
     out = written(reps.select("node", "one", "two", "copies", "doc_id").join(labels, "node", "left"), "labelled")
     forget(tried, mixed, rest, *sets.read)
     return rows, out

@@ -107,6 +107,30 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def least_reachable(edges):
+    """Label of every node, by passing the least label along until nothing changes."""
+    label = {x: x for edge in edges for x in edge}
+    while True:
+        moved = False
+        for a, b in edges:
+            least = min(label[a], label[b])
+            moved |= label[a] != label[b]
+            label[a] = label[b] = least
+        if not moved:
+            return label
+
+
+def test_components_of_random_graphs_and_more_edges(spark):
+    rng = random.Random(8)
+    for nodes, n, more in ((60, 30, 12), (200, 150, 40), (30, 5, 0), (40, 0, 9)):
+        one, two = ([tuple(rng.sample(range(nodes), 2)) for _ in range(m)] for m in (n, more))
+        frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+        found = components.components(frame(one))
+        assert {r["node"]: r["label"] for r in found.collect()} == least_reachable(one)
+        want = least_reachable(one + two)
+        assert {r["node"]: r["label"] for r in components.grown(found, frame(two)).collect()} == want
+
+
 def passage(rng, lines, words=12):
     return ["\n".join(" ".join(f"p{rng.randrange(10**9)}" for _ in range(words)) for _ in range(lines))]
 
