@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import internal, joined, table, written
+from .common import internal, spread, table, written
 
 KEY, ROUNDS = "surrogates-1", 25
 
@@ -341,6 +341,14 @@ def _whole(name: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), name, F.lit(r"(?![\p{L}\p{N}])"))
 
 
+def _of_part(known: DataFrame, found: DataFrame, part: int) -> DataFrame:
+    """Cores of the first or second parts of mentions, with n, the mentions of each; an entity of very many is spread."""
+    kind, canon = f"kind_{part}", f"canon_{part}"
+    counts = found.where(f"{kind} IS NOT NULL").groupBy(kind, canon).agg(F.count("*").alias("n"))
+    cores_of_part = known.select(F.col("kind").alias(kind), F.col("canon").alias(canon), F.col("core").alias(f"core_{part}"))
+    return written(counts.join(cores_of_part, [kind, canon]), "part-cores")
+
+
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) and kinds (distinct, sorted), one row a document.
 
@@ -352,11 +360,11 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     hits = docs.where(has).select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", PATTERN, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("mentions"))
     hits = written(hits, "mentions")
     found = written(entities(hits.select("row", F.posexplode("mentions").alias("at", "mention"))), "found")
-    map_1 = cores(found, key)
-    map_2 = map_1.select(F.col("kind").alias("kind_2"), F.col("canon").alias("canon_2"), F.col("core").alias("core_2"))
-    map_1 = map_1.select(F.col("kind").alias("kind_1"), F.col("canon").alias("canon_1"), F.col("core").alias("core_1"))
-    single = found.where("kind_2 IS NULL").join(map_1, ["kind_1", "canon_1"]).withColumn("core_2", F.lit(None).cast("string"))
-    double = found.where("kind_2 IS NOT NULL").join(map_1, ["kind_1", "canon_1"]).join(map_2, ["kind_2", "canon_2"])
+    known = cores(found, key)
+    map_1, map_2 = _of_part(known, found, 1), _of_part(known, found, 2)
+    with_1 = spread(found, map_1, ["kind_1", "canon_1"], "row", "n")
+    single = with_1.where("kind_2 IS NULL").withColumn("core_2", F.lit(None).cast("string"))
+    double = spread(with_1.where("kind_2 IS NOT NULL"), map_2, ["kind_2", "canon_2"], "row", "n")
     m, c1, c2 = F.col("mention"), F.col("core_1"), F.col("core_2")
     full = F.when(c2.isNotNull(), F.struct(_bare(m).alias("old"), _new_name(m, c1, c2).alias("new")))
     new = single.unionByName(double).select("row", "at", F.regexp_extract("kind_1", "^[a-z0-9]+", 0).alias("kind"), rendered(F.col("kind_1"), m, c1, c2).alias("new"), full.alias("full"))
