@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, licenses, line_dedup, mixing, near_dedup, phrases, quality_classifier, quality_rules, sharding, surrogates
+from . import bpe, decontamination, language_id, licenses, line_dedup, merkle, mixing, near_dedup, phrases, quality_classifier, quality_rules, sharding, surrogates
 
 QUERIES = {
     "op1_bradley_terry_quality": quality_classifier.op1_bradley_terry_quality,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_bigru_language": language_id.op10_bigru_language,
     "op11_rabin_karp_phrases": phrases.op11_rabin_karp_phrases,
     "op12_bpe_trie": bpe.op12_bpe_trie,
+    "op13_bitmap_rank_merkle": merkle.op13_bitmap_rank_merkle,
 }
 
 ORACLE_SQL = {
     "op4_mix_source_weights": mixing.OP4_SQL,
     "op8_feistel_shards": sharding.op8_sql(),
     "op11_rabin_karp_phrases": phrases.OP11_SQL,
+    "op13_bitmap_rank_merkle": merkle.op13_sql(),
 }
