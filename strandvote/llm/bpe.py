@@ -20,17 +20,19 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 from .common import fresh, internal, table
+from .kernels import slices
 
 #: Fixed value: how byte-level vocabularies of this kind split a text before the merges.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Words of a block whose new ones are put in one trie; words kept between blocks, and their longest length.
-BLOCK, KEPT, LONGEST = 300_000, 300_000, 64
+#: Words of a block whose new ones are put in one trie; words, and pairs of tokens, that are kept between blocks, and the longest such word.
+BLOCK, KEPT, PAIRS, LONGEST = 100_000, 100_000, 300_000, 64
 NEVER = 1 << 60
 END = -1
 
@@ -120,6 +122,8 @@ class Vocabulary:
         the path walked, and the next word leaves the path where it differs.
         """
         out, path, last = [], b"", [END]
+        if len(self._joined) > PAIRS:
+            self._joined.clear()
         ending, known = self.ending, self._joined
         for word in words:
             shared = _shared(path, word)
@@ -235,7 +239,7 @@ def token_ids(text: str | Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for batch in batches:
-            ids = v.encode(batch.to_pylist())
+            ids = [x for part in slices(batch) for x in v.encode([part.text(i).decode() for i in range(len(part))])]
             ends = np.cumsum([0, *map(len, ids)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
 
@@ -249,7 +253,8 @@ def token_text(ids: str | Column, path: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for batch in batches:
-            yield pa.array([None if x is None else v.decode(np.asarray(x, np.int64)) for x in batch.to_pylist()], pa.string())
+            flat, ends = batch.flatten().to_numpy(), np.cumsum([0, *(x or 0 for x in pc.list_value_length(batch).to_pylist())])
+            yield pa.array([v.decode(flat[a:b]) if known else None for a, b, known in zip(ends[:-1], ends[1:], batch.is_valid().to_pylist(), strict=True)], pa.string())
 
     return decode(ids)
 
