@@ -31,7 +31,7 @@ LONGEST, LEAST, MOST = 3, 10, 2000
 #: Share of a phrase's occurrences, as a fraction of 100, that a longer one must cover to take its place.
 COVERED = 50
 #: Bytes of text of a block, and fingerprints of a bucket; one byte of text has PER_BYTE fingerprints or so.
-BLOCK, BUCKET, PER_BYTE = 4 << 20, 1_000_000, 0.35
+BLOCK, BUCKET, PER_BYTE = 1 << 20, 500_000, 0.35
 #: Primes below 2**31 and bases of the two polynomials.
 MODULI, BASES = (2147483647, 2147483629), (911382323, 672327653)
 BREAKS = np.zeros(256, bool)
