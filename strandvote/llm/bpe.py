@@ -31,8 +31,10 @@ from .kernels import slices
 
 #: Fixed value: how byte-level vocabularies of this kind split a text before the merges.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Words of a block whose new ones are put in one trie; words, and pairs of tokens, that are kept between blocks, and the longest such word.
-BLOCK, KEPT, PAIRS, LONGEST = 100_000, 100_000, 300_000, 64
+#: Where a space doesn't begin a word: before white space, or at the end.
+SPACED = regex.compile(r" (?:\s|\Z)")
+#: Parts of a block of texts whose new words are put in one trie; parts, and pairs of tokens, that are kept between blocks, and the longest such part.
+BLOCK, KEPT, PAIRS, LONGEST = 100_000, 300_000, 400_000, 64
 NEVER = 1 << 60
 END = -1
 
@@ -63,13 +65,16 @@ class Vocabulary:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in settings["added_tokens"]):
             raise ValueError(f"{path}: added tokens of an unknown kind")
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.decoded = self.bytes | {i: t.encode() for t, i in self.added.items()}
-        self.size = np.zeros(max(self.decoded) + 1, np.int64)
-        self.size[list(self.decoded)] = list(map(len, self.decoded.values()))
+        decoded = self.bytes | {i: t.encode() for t, i in self.added.items()}
+        self.decoded = [decoded.get(i, b"") for i in range(max(decoded) + 1)]
         self.ending = self._ending()
-        self._joined: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(t) for i, t in self.bytes.items()}
+        of = {t: i for i, t in self.bytes.items()}
+        self.longer = {of[t[:-1]] << 8 | t[-1]: i for t, i in of.items() if t[:-1] in of}
+        self._joined: dict[int, bool] = {}
         self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._letters: set[str] = set(map(chr, range(128)))
         self._other: set[str] = set()
         self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
@@ -104,7 +109,7 @@ class Vocabulary:
         They aren't if some merge joins a token at the end of the first with one at the beginning of the
         second while both stand there. Of merges of one rank the leftmost goes first.
         """
-        found = self._joined.get((a, b))
+        found = self._joined.get(a << 24 | b)
         if found is None:
             found = True
             for x, until_x in self._spine(a, 1):
@@ -112,7 +117,7 @@ class Vocabulary:
                     at = self.rank.get((x, y))
                     if at is not None and at < until_x and at <= until_y:
                         found = False
-            self._joined[a, b] = found
+            self._joined[a << 24 | b] = found
         return found
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -124,12 +129,20 @@ class Vocabulary:
         out, path, last = [], b"", [END]
         if len(self._joined) > PAIRS:
             self._joined.clear()
-        ending, known = self.ending, self._joined
+        ending, longer, known, size, apart = self.ending, self.longer.get, self._joined.get, self.size, self.apart
         for word in words:
             shared = _shared(path, word)
             del last[shared + 1 :]
+            token = last[shared]
             for depth in range(shared + 1, len(word) + 1):
-                # all tokens that end here, by walking back, the longest one first
+                # one token at most fits; often it is the last one and the new byte
+                token = longer(token << 8 | word[depth - 1]) if token != END else None
+                if token is not None:
+                    start = depth - size[token]
+                    if not start or known(last[start] << 24 | token, False):
+                        last.append(token)
+                        continue
+                # else all tokens that end here, by walking back, the longest one first
                 node, start, ends = ending, depth, []
                 while start and (node := node.get(word[start - 1])) is not None:
                     start -= 1
@@ -140,16 +153,16 @@ class Vocabulary:
                     token, start = ends.pop(), ends.pop()
                     if not start:
                         break
-                    before = last[start]
-                    apart = known.get((before, token))
-                    if self.apart(before, token) if apart is None else apart:
+                    fits = known(last[start] << 24 | token)
+                    if apart(last[start], token) if fits is None else fits:
                         break
                 last.append(token)
             path = word
             tokens, depth = [], len(word)
             while depth:
-                tokens.append(last[depth])
-                depth -= len(self.bytes[last[depth]])
+                token = last[depth]
+                tokens.append(token)
+                depth -= size[token]
             out.append(tokens[::-1])
         return out
 
@@ -167,53 +180,90 @@ class Vocabulary:
             return (text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text))
         return (m.group() for m in SPLIT.finditer(text)) if len(text) > BLOCK else iter(SPLIT.findall(text))
 
-    def words(self, text: str) -> Iterator[str]:
-        """The words of a text, added tokens among them as they are."""
+    def units(self, text: str) -> Iterator[str]:
+        """Parts of a text that are encoded on their own, one after the other: runs of words, words, and added tokens.
+
+        A space before anything but white space begins a word whatever stands before it; parts begin there. Long
+        parts are given word by word.
+        """
         if self.at_added is None or not self.at_added.search(text):
-            yield from self._pieces(text)
-            return
+            return self._units(text)
+        return self._parted(text)
+
+    def _parted(self, text: str) -> Iterator[str]:
         start = 0
         for m in self.at_added.finditer(text):
-            yield from self._pieces(text[start : m.start()])
+            yield from self._units(text[start : m.start()])
             yield m.group()
             start = m.end()
-        yield from self._pieces(text[start:])
-
-    def table_of(self, words: set[str]) -> dict[str, list[int]]:
-        """Tokens of these words; those not met before go through one trie."""
-        new = sorted(w.encode() for w in words if w not in self._known and w not in self.added)
-        coded = dict(zip((w.decode() for w in new), self.encode_words(new), strict=True))
-        found = {w: [self.added[w]] if w in self.added else coded[w] if w in coded else self._known[w] for w in words}
-        if len(self._known) > KEPT:
-            self._known.clear()
-        self._known.update((w, t) for w, t in coded.items() if len(w) <= LONGEST)
-        return found
+        yield from self._units(text[start:])
+
+    def _units(self, text: str) -> Iterator[str]:
+        parts = text.split(" ")
+        if SPACED.search(text):
+            out = parts[:1]
+            for part in parts[1:]:
+                if not part or part[0].isspace():
+                    out[-1] += " " + part
+                else:
+                    out.append(" " + part)
+        else:
+            out = [parts[0], *map(" ".__add__, parts[1:])]
+        if max(map(len, out)) > LONGEST:
+            return chain.from_iterable(self._pieces(u) if len(u) > LONGEST else (u,) for u in out)
+        return iter(out)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The tokens of each text; texts are taken together until they make a block of words, and a long one in several."""
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        """The tokens of each text; texts are taken together until they make a block, and a long one in several."""
+        parts: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
         n = 0
         for i, text in enumerate(texts):
-            words = self.words(text or "")
-            while some := list(islice(words, BLOCK)):
+            units = self.units(text or "")
+            while some := list(islice(units, BLOCK)):
                 held.append((i, some))
                 n += len(some)
                 if n >= BLOCK:
                     self._flush(held, parts)
                     held, n = [], 0
         self._flush(held, parts)
-        none = np.zeros(0, np.int32)
-        return [p[0] if len(p) == 1 else np.concatenate(p) if p else none for p in parts]
+        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
 
-    def _flush(self, held: list[tuple[int, list[str]]], parts: list[list[np.ndarray]]) -> None:
-        tokens = self.table_of(set().union(*(words for _, words in held)))
-        for i, words in held:
-            parts[i].append(np.fromiter(chain.from_iterable(map(tokens.__getitem__, words)), np.int32))
+    def _flush(self, held: list[tuple[int, list[str]]], parts: list[list[bytes]]) -> None:
+        """Put the words of a block's new parts in one trie, and the tokens of all parts in their texts."""
+        if len(self._known) > KEPT:
+            self._known.clear()
+        known = self._known
+        new = set().union(*(units for _, units in held)).difference(known)
+        for u in new.intersection(self.added):
+            known[u] = np.array([self.added[u]], np.int32).tobytes()
+        words = {u: list(self._pieces(u)) for u in new.difference(self.added)}
+        if len(self._words) > KEPT:
+            self._words.clear()
+        distinct = sorted(w.encode() for w in set(chain.from_iterable(words.values())).difference(self._words))
+        self._words.update((w.decode(), np.array(t, np.int32).tobytes()) for w, t in zip(distinct, self.encode_words(distinct), strict=True))
+        coded = self._words.__getitem__
+        known.update((u, coded(some[0]) if len(some) == 1 else b"".join(map(coded, some))) for u, some in words.items())
+        for i, units in held:
+            parts[i].append(b"".join(map(known.__getitem__, units)))
+        for u in [u for u in words if len(u) > LONGEST]:
+            del known[u]
+        for w in [w for w in map(bytes.decode, distinct) if len(w) > LONGEST]:
+            del self._words[w]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of tokens; bytes that aren't UTF-8 become U+FFFD, numbers that no token has are passed over."""
-        return b"".join(self.decoded.get(i, b"") for i in ids.tolist()).decode("utf-8", "replace")
+        ids = ids[(ids >= 0) & (ids < len(self.decoded))]
+        return b"".join(map(self.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        ids = [x for part in slices(texts) for x in self.encode([part.text(i).decode() for i in range(len(part))])]
+        ends = np.cumsum([0, *map(len, ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in pc.list_value_length(ids).to_pylist())])
+        return pa.array([self.decode(flat[a:b]) if known else None for a, b, known in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True)], pa.string())
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -237,11 +287,7 @@ def token_ids(text: str | Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary(path)
-        for batch in batches:
-            ids = [x for part in slices(batch) for x in v.encode([part.text(i).decode() for i in range(len(part))])]
-            ends = np.cumsum([0, *map(len, ids)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+        return map(vocabulary(path).encode_column, batches)
 
     return encode(text)
 
@@ -251,12 +297,22 @@ def token_text(ids: str | Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return map(vocabulary(path).decode_column, batches)
+
+    return decode(ids)
+
+
+def round_trip(text: str | Column, path: str) -> Column:
+    """ids, the tokens of a text column, and back, the text decoded from those tokens, in one look at the text."""
+
+    @F.arrow_udf("struct<ids:array<int>,back:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for batch in batches:
-            flat, ends = batch.flatten().to_numpy(), np.cumsum([0, *(x or 0 for x in pc.list_value_length(batch).to_pylist())])
-            yield pa.array([v.decode(flat[a:b]) if known else None for a, b, known in zip(ends[:-1], ends[1:], batch.is_valid().to_pylist(), strict=True)], pa.string())
+            ids = v.encode_column(batch)
+            yield pa.StructArray.from_arrays([ids, v.decode_column(ids)], ["ids", "back"])
 
-    return decode(ids)
+    return both(text)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -268,7 +324,6 @@ def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = encoded(internal(table(spark, sf_dir, "documents"), "doc_id", "text"), path).select("doc_id", "ids")
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(token_text("ids", path), 256).alias("decoded_sha256")
-    )
+    coded = internal(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", round_trip("text", path).alias("c")).select("doc_id", "c.*")
+    digest = lambda text: F.sha2(text, 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("back")).alias("decoded_sha256"))

@@ -55,6 +55,7 @@ def test_shared_prefixes_are_walked_once(monkeypatch):
 def test_long_words_and_small_blocks(library, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 7)
     monkeypatch.setattr(bpe, "KEPT", 5)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
     v = bpe.Vocabulary(PATH)
     some = ["x" * 5000 + "y", "", "one two three four five six seven eight nine ten " * 3, "\n" * 300]
     assert [x.tolist() for x in v.encode(some)] == [w.ids for w in library.encode_batch(some, add_special_tokens=False)]
