@@ -34,7 +34,7 @@ SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Where a space doesn't begin a word: before white space, or at the end.
 SPACED = regex.compile(r" (?:\s|\Z)")
 #: Parts of a block of texts whose new words are put in one trie; parts, and pairs of tokens, that are kept between blocks, and the longest such part.
-BLOCK, KEPT, PAIRS, LONGEST = 100_000, 300_000, 400_000, 64
+BLOCK, KEPT, PAIRS, LONGEST = 100_000, 600_000, 1_000_000, 64
 NEVER = 1 << 60
 END = -1
 
