@@ -84,7 +84,7 @@ class Runs:
             h = (sums[self.stop[at + n - 1]] - sums[self.begin[at]]) % modulus * inverse[at] % modulus
             out = (out << np.uint64(31)) | h.astype(np.uint64)
         own = self.lang[at] * np.uint64(2 * n + 1)
-        check = k.mix(k.windows(self.words.hash, n)[at] ^ own) >> np.uint64(32)
+        check = k.mix(k.windows(self.words.hash, n)[at] ^ own) >> np.uint64(40)  # 24 bits beside the 62 of the fingerprint
         return k.mix(out ^ own), check.astype(np.uint32), at
 
     def phrase(self, word: int, n: int) -> str:
