@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import gap_fraction
+from .selection import quantiles
 
 
 def some_rows(df: DataFrame, what: str, strict: bool = True) -> DataFrame:
@@ -42,44 +42,19 @@ def confidence(metrics: DataFrame) -> Column:
     return F.coalesce("local_plddt", "plddt") if "local_plddt" in metrics.columns else F.col("plddt")
 
 
-#: Accuracy of the sketch that brackets a quantile, and the part of the rows on either side that the bracket takes in.
-SKETCH, MARGIN = 20_000, 0.001
-
-
 def exact_quantile(df: DataFrame, metric: str, p: float, keys: list[str] | None = None, name: str = "value") -> DataFrame:
-    """keys and name, the p quantile of metric by linear interpolation; one row without keys, null without values.
-
-    A mergeable sketch brackets the quantile between two values. Rows below the bracket are counted, and only
-    the values inside it, about a five-hundredth of them, are counted one by one and summed in order; so no
-    buffer or window holds all values. Groups of under 10 / MARGIN rows are counted whole. keys have few values.
-    """
-    keys = keys or []
-    rows = df.where(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("_v"))
-    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - MARGIN)), F.lit(min(1.0, p + MARGIN))), F.lit(SKETCH))
-    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), ends.alias("_e"))
-    large = F.col("_n") * MARGIN >= 10
-    sketch = sketch.select(*keys, "_n", *[F.when(large, F.element_at("_e", i + 1)).otherwise(F.lit(x)).alias(c) for i, (c, x) in enumerate((("_lo", float("-inf")), ("_hi", float("inf"))))])
-    near = (rows.join(F.broadcast(sketch), keys) if keys else rows.crossJoin(F.broadcast(sketch))).where("_v <= _hi")  # a row a key
-    counts = near.groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys, "_n").orderBy(F.col("_v").asc_nulls_first()))  # values in the bracket only; null: those below it
-    at = F.lit(p) * (F.col("_n") - 1)
-    place = F.floor(at)
-    pick = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    found = counts.withColumn("_upto", upto).groupBy(*keys, "_n").agg(pick(place).alias("_a"), pick(place + 1).alias("_b"))
-    value = F.when(at == place, F.col("_a")).otherwise((place + 1 - at) * F.col("_a") + (at - place) * F.col("_b"))
-    found = found.select(*keys, value.alias(name))
-    return found if keys else found.agg(F.max(name).alias(name))
+    """keys and name, the p quantile of metric by linear interpolation; null without values. Without keys one row."""
+    return quantiles(df, {name: (metric, p)}, keys)
 
 
 def quantile_thresholds(df: DataFrame, criteria: list[dict], q: float, exact: bool = True) -> DataFrame:
-    """One row: for each usable criterion t_<name>, its quantile 1 - q (above) or q (below), by linear interpolation."""
+    """One row: for each usable criterion t_<name>, its quantile 1 - q (above) or q (below), by linear interpolation; all in one selection."""
     usable = {c["name"]: 1 - q if c["method"] == "above" else q for c in criteria if c["name"] in df.columns and c.get("method") in ("above", "below")}
-    if not exact and usable:
+    if not usable:
+        return df.sparkSession.range(1).select()
+    if not exact:
         return df.agg(*[F.percentile_approx(F.col(name), F.lit(p)).alias(f"t_{name}") for name, p in usable.items()])
-    out = df.sparkSession.range(1).select()
-    for name, p in usable.items():
-        out = out.crossJoin(F.broadcast(exact_quantile(df, name, p, name=f"t_{name}")))  # one row each
-    return out
+    return quantiles(df, {f"t_{name}": (name, p) for name, p in usable.items()})
 
 
 def apply_filters(threshold_df: DataFrame, operate_df: DataFrame, criteria: list[dict], q: float, exact: bool = True) -> DataFrame:
