@@ -15,14 +15,18 @@ AXES = ("x", "y", "z")
 NEWTON_STEPS = 50
 
 
-def cross_sums(target: str, ref: str) -> list[Column]:
-    """Aggregates of paired coordinates (columns target + axis and ref + axis): n, means, centred cross sums and e0."""
-    n = F.count("*").cast("double")
-    out = [n.alias("n_pairs")]
-    out += [F.avg(f"{p}{a}").alias(f"m_{p}{a}") for p in (target, ref) for a in AXES]
-    out += [(F.sum(F.col(f"{target}{a}") * F.col(f"{ref}{b}")) - F.sum(f"{target}{a}") * F.sum(f"{ref}{b}") / n).alias(f"s_{a}{b}") for a, b in product(AXES, AXES)]
-    spread = sum((F.sum(F.col(f"{p}{a}") * F.col(f"{p}{a}")) - F.sum(f"{p}{a}") * F.sum(f"{p}{a}") / n for p in (target, ref) for a in AXES), F.lit(0.0))
-    return [*out, (spread / 2).alias("e0")]
+def cross_sums(target: str, ref: str, where: Column | None = None, prefix: str = "") -> list[Column]:
+    """Aggregates of paired coordinates (columns target + axis and ref + axis): n, means, centred cross sums and e0.
+
+    where: only of the rows that meet it, of which there may be none; prefix: of the names.
+    """
+    at = {f"{p}{a}": F.col(f"{p}{a}") if where is None else F.when(where, F.col(f"{p}{a}")) for p in (target, ref) for a in AXES}
+    n = (F.count("*") if where is None else F.nullif(F.count_if(where), F.lit(0))).cast("double")
+    out = [n.alias(f"{prefix}n_pairs")]
+    out += [F.avg(c).alias(f"{prefix}m_{name}") for name, c in at.items()]
+    out += [(F.sum(at[target + a] * at[ref + b]) - F.sum(at[target + a]) * F.sum(at[ref + b]) / n).alias(f"{prefix}s_{a}{b}") for a, b in product(AXES, AXES)]
+    spread = sum((F.sum(c * c) - F.sum(c) * F.sum(c) / n for c in at.values()), F.lit(0.0))
+    return [*out, (spread / 2).alias(f"{prefix}e0")]
 
 
 def matrix() -> list[list[Column]]:
@@ -84,13 +88,31 @@ def quaternion() -> Column:
     return F.when(F.sqrt(best["size"]) > 1e-10 * scale * scale * scale, F.transform(best["v"], lambda x: x / F.sqrt(best["size"])))
 
 
-def rotated(target: str, ref: str, q: str = "q") -> dict[str, Column]:
-    """Coordinates of a target atom after the superposition on the reference."""
+def rotation(q: str = "q") -> dict[str, tuple[Column, Column, Column]]:
+    """Rows of the rotation of a quaternion."""
     w, x, y, z = (F.element_at(q, i) for i in range(1, 5))
-    rows = {
+    return {
         "x": (w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)),
         "y": (2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)),
         "z": (2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z),
     }
+
+
+def rotated(target: str, ref: str, q: str = "q") -> dict[str, Column]:
+    """Coordinates of a target atom after the superposition on the reference."""
     centred = [F.col(f"{target}{a}") - F.col(f"m_{target}{a}") for a in AXES]
-    return {a: sum((r * c for r, c in zip(row, centred, strict=True)), F.col(f"m_{ref}{a}")) for a, row in rows.items()}
+    return {a: sum((r * c for r, c in zip(row, centred, strict=True)), F.col(f"m_{ref}{a}")) for a, row in rotation(q).items()}
+
+
+def moved_rmsd(target: str, ref: str, prefix: str, q: str = "q") -> Column:
+    """RMSD of the rows of the sums of prefix, moved by the pose of the other ones, from sums alone.
+
+    A moved point is off by the rotated distance from its set's mean less its partner's, plus what the pose
+    leaves between the two means.
+    """
+    rows = rotation(q)
+    turned = sum((rows[b][i] * F.col(f"{prefix}s_{a}{b}") for i, a in enumerate(AXES) for b in AXES), F.lit(0.0))
+    off = [F.col(f"{prefix}m_{target}{a}") - F.col(f"m_{target}{a}") for a in AXES]
+    left = {b: sum((r * o for r, o in zip(row, off, strict=True)), F.col(f"m_{ref}{b}") - F.col(f"{prefix}m_{ref}{b}")) for b, row in rows.items()}
+    square = 2.0 * (F.col(f"{prefix}e0") - turned) / F.col(f"{prefix}n_pairs") + sum((x * x for x in left.values()), F.lit(0.0))
+    return F.when(square.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), square)))

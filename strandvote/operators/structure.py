@@ -8,12 +8,15 @@ are small tables of one protein.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import superpose as sp
 from ..functions.text import element_mass, expand_indices
+from ..storage import small
 
 KEY = "structure_id"
 
@@ -152,9 +155,8 @@ def tm_score_paired(atoms: DataFrame, ref: DataFrame, chain: str = "A", name: st
     length = own.agg(F.countDistinct("res_seq").cast("double").alias("_l"))
     pairs = match_atoms(_is_ca(ref), _is_ca(atoms), chain)
     at = superposed(pairs, pairs).crossJoin(F.broadcast(length))  # one row
-    d0 = F.when(F.col("_l") > 15, F.greatest(F.lit(0.5), 1.24 * F.cbrt(F.col("_l") - 15) - 1.8)).otherwise(0.5)
     square = sum(((F.col(f"t{a}") - F.col(f"r{a}")) ** 2 for a in sp.AXES), F.lit(0.0))
-    return at.groupBy(KEY).agg((F.sum(1 / (1 + square / (d0 * d0))) / F.max("_l")).alias(name))
+    return at.groupBy(KEY).agg((F.sum(_tm_sum(F.col("_l"), square)) / F.max("_l")).alias(name))
 
 
 #: One-letter codes of the standard residues.
@@ -167,8 +169,6 @@ def protein_sequence(atoms: DataFrame) -> DataFrame:
 
     Residues follow each other by their first line; C of one within 1.8 of N of the next is a bond.
     """
-    from pyspark.sql import Window as W
-
     order = F.col("line_no") if "line_no" in atoms.columns else F.col("res_seq")
     at = lambda atom: F.max(F.when(F.col("atom_name") == atom, F.struct(*sp.AXES)))
     residues = atoms.where((F.col("model") == 1) & (F.col("record") == "ATOM")).groupBy(KEY, "chain", "res_seq", *(["icode"] if "icode" in atoms.columns else [])).agg(F.min(order).alias("first"), F.first("res_name").alias("res_name"), at("N").alias("n"), at("C").alias("c"))
@@ -192,41 +192,74 @@ def _angle(c: dict, prefix: str) -> tuple[list[Column], Column]:
     return _angle_sums(*[expand_indices(i[k]) for k in ("domain1", "domain2", "hinge")], prefix=prefix)
 
 
-def _rmsd(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
-    sup, rms = expand_indices(c.get("superposition_indices"), whole), expand_indices(c.get("rmsd_indices"), whole)
-    make = all_atom_rmsd if "all_atom_rmsd" in (c["type"], c.get("method")) else ca_rmsd
-    return make(atoms, refs[c["ref_pdb"]], sup, rms, name=c["name"]).drop("n_pairs")
+#: Aggregates and value of the criterion types that one pass over the atoms serves.
+CENTRED: dict[str, Callable[[dict, str], tuple[list[Column], Column]]] = {"distance": _distance, "angle": _angle}
+#: Criterion types that superpose structures on a reference.
+SUPERPOSED = ("rmsd", "all_atom_rmsd", "tmscore")
 
 
-def _tm(atoms: DataFrame, refs: dict, c: dict, whole: list[int]) -> DataFrame:
-    return tm_score_paired(atoms, refs[c["ref_pdb"]], name=c["name"])
+def _tm_sum(length: Column, square: Column) -> Column:
+    """One residue's part of a TM sum: by the squared distance of a pair and the reference's length."""
+    d0 = F.when(length > 15, F.greatest(F.lit(0.5), 1.24 * F.cbrt(length - 15) - 1.8)).otherwise(0.5)
+    return 1 / (1 + square / (d0 * d0))
 
 
-#: Aggregates and value of the criterion types that one pass over the atoms serves.
-CENTRED: dict[str, Callable[[dict, str], tuple[list[Column], Column]]] = {"distance": _distance, "angle": _angle}
-#: Metric of the other types, which superpose; more can be added.
-SUPERPOSED: dict[str, Callable[[DataFrame, dict, dict, list[int]], DataFrame]] = {"rmsd": _rmsd, "all_atom_rmsd": _rmsd, "tmscore": _tm}
+def _reference_points(refs: dict[str, DataFrame], criteria: dict[int, dict], whole: list[int], chain: str) -> DataFrame:
+    """criterion, res_seq, atom_name, rx, ry, rz, sup (the pose is made by it), mov (it is measured after the move) and length: a few atoms of one protein a criterion."""
+    out = []
+    for i, c in criteria.items():
+        points = _points(refs[c["ref_pdb"]].where("record = 'ATOM'"), "r", chain, ["res_seq", "atom_name"])
+        is_ca, tm = F.col("atom_name") == "CA", c["type"] == "tmscore"
+        among = lambda name: F.lit(True) if tm else F.col("res_seq").isin(expand_indices(c.get(name), whole))  # noqa: B023, E731
+        every = "all_atom_rmsd" in (c["type"], c.get("method"))
+        points = points.withColumns({"sup": is_ca & among("superposition_indices"), "mov": (F.lit(True) if every else is_ca) & among("rmsd_indices")}).where("sup OR mov")
+        out.append(points.select(F.lit(i).alias("criterion"), "res_seq", "atom_name", *[f"r{a}" for a in sp.AXES], "sup", "mov", F.count_if("sup").over(W.partitionBy(F.lit(i))).cast("double").alias("length")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def superposed_metrics(atoms: DataFrame, refs: dict[str, DataFrame], criteria: dict[int, dict], whole: list[int], chain: str = "A") -> DataFrame:
+    """G3, G4 and G6b of many criteria at once: structure_id and m_<number>, the value of each of criteria.
+
+    The atoms that any criterion names are dealt by structure once. Conditional cross sums by structure and criterion
+    give every pose, and every RMSD over the same or other atoms; TM sums take one more look at the pairs. So neither
+    scans nor exchanges grow with the criteria.
+    """
+    points = small(_reference_points(refs, criteria, whole, chain))
+    own = atoms.where((F.col("record") == "ATOM") & (F.col("chain") == chain) & (F.col("model") == 1)).join(points.select("res_seq", "atom_name"), ["res_seq", "atom_name"], "left_semi")
+    pairs = _points(own.repartition(KEY), "t", chain, [KEY, "res_seq", "atom_name"]).join(points, ["res_seq", "atom_name"])
+    sums = pairs.groupBy(KEY, "criterion").agg(*sp.cross_sums("t", "r", F.col("sup")), *sp.cross_sums("t", "r", F.col("mov"), "v_"))
+    poses = sums.where("n_pairs > 0").withColumns(sp.polynomial()).withColumn("root", sp.largest_root()).withColumn("q", sp.quaternion())
+    same = [i for i, c in criteria.items() if c["type"] != "tmscore" and "all_atom_rmsd" not in (c["type"], c.get("method")) and set(expand_indices(c.get("superposition_indices"), whole)) == set(expand_indices(c.get("rmsd_indices"), whole))]
+    by_sums = [i for i, c in criteria.items() if c["type"] != "tmscore"]
+    values = poses.where(F.col("criterion").isin(by_sums)).select(KEY, "criterion", F.when(F.col("criterion").isin(same), sp.least_rmsd()).otherwise(sp.moved_rmsd("t", "r", "v_")).alias("value"))
+    if len(by_sums) < len(criteria):
+        pose = poses.where(~F.col("criterion").isin(by_sums)).select(KEY, "criterion", "q", *[f"m_{p}{a}" for p in "tr" for a in sp.AXES])
+        moved = pairs.where("mov").join(pose, [KEY, "criterion"])
+        square = sum(((c - F.col(f"r{a}")) ** 2 for a, c in sp.rotated("t", "r").items()), F.lit(0.0))
+        tm = moved.groupBy(KEY, "criterion").agg((F.sum(_tm_sum(F.col("length"), square)) / F.max("length")).alias("value"))
+        values = values.unionByName(tm)
+    return values.groupBy(KEY).agg(*[F.max(F.when(F.col("criterion") == i, F.col("value"))).alias(f"m_{i}") for i in criteria])
 
 
 def all_metrics(atoms: DataFrame, refs: dict[str, DataFrame], criteria: dict, threshold: float = 0.0, drop_incomplete: bool = False) -> DataFrame:
     """PDB, plddt, [local_plddt] and a column a criterion, of structures above the confidence threshold.
 
-    Confidence and the sums behind all distances and angles come from one pass of conditional aggregates; the
-    superpositions see only the atoms of structures that pass. Unknown types are skipped. A metric that can't be computed is null; drop_incomplete drops such rows, but for distances.
+    Confidence and the sums behind all distances and angles come from one pass of conditional aggregates, all
+    superpositions from another one over the atoms of structures that pass. Unknown types are skipped. A metric that can't be computed is null; drop_incomplete drops such rows, but for distances.
     """
     basics = criteria.get("basics", {})
     whole, local = expand_indices(basics.get("full_index")), expand_indices(basics.get("local_index"))
-    known = [c for c in criteria["filter_criteria"] if c["type"] in CENTRED or c["type"] in SUPERPOSED]
+    known = [c for c in criteria["filter_criteria"] if c["type"] in (*CENTRED, *SUPERPOSED)]
     centred = {i: CENTRED[c["type"]](c, f"_{i}") for i, c in enumerate(known) if c["type"] in CENTRED}
     ca = (F.col("record") == "ATOM") & (F.col("atom_name") == "CA")
     mean = lambda residues: F.avg(F.when(ca & F.col("res_seq").isin(list(residues)), F.col("b_factor")))
     sums = atoms.groupBy(KEY).agg(mean(whole).alias("plddt"), *([mean(local).alias("local_plddt")] if local else []), *[s for sums, _ in centred.values() for s in sums])
     out = sums.where((F.col("plddt") > threshold) & (F.col("plddt") != 0))
     out = out.select(KEY, "plddt", *(["local_plddt"] if local else []), *[value.alias(known[i]["name"]) for i, (_, value) in centred.items()])
-    kept = atoms.join(out.select(KEY), KEY, "left_semi")
-    for i, c in enumerate(known):
-        if i not in centred:
-            out = out.join(SUPERPOSED[c["type"]](kept, refs, c, whole), KEY, "left")
+    others = {i: c for i, c in enumerate(known) if i not in centred}
+    if others:
+        found = superposed_metrics(atoms.join(out.select(KEY), KEY, "left_semi"), refs, others, whole)
+        out = out.join(found.withColumnsRenamed({f"m_{i}": c["name"] for i, c in others.items()}), KEY, "left")
     out = out.select(KEY, "plddt", *(["local_plddt"] if local else []), *[F.when(~F.isnan(c["name"]), F.col(c["name"])).alias(c["name"]) for c in known])
     needed = [c["name"] for c in known if c["type"] != "distance"]
     out = out.dropna(subset=needed) if drop_incomplete and needed else out
