@@ -1,10 +1,10 @@
-"""Stages (C1-C9), unions (U1, U2, U4) and arms."""
+"""Stages (C1-C6, C9; C8 is commit.py), unions (U1, U2, U4) and arms."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_1d, bin_focused
@@ -35,13 +35,13 @@ def concat_groups(groups: list[DataFrame]) -> DataFrame:
     return recompile.distinct_entries(reduce(DataFrame.unionByName, ranked), order=("file_rank", "pos"))
 
 
-def prepare_iteration(msa: DataFrame, params: Enrichment, first: bool = True) -> DataFrame:
-    """Groups of an iteration; the first one filters by coverage and may take a random part."""
+def prepare_iteration(msa: DataFrame, params: Enrichment, first: bool = True, strict: bool = False) -> DataFrame:
+    """Groups of an iteration; the first one filters by coverage and may take a random part. strict: nothing to shuffle is an error."""
     if first:
-        msa = filters.filter_by_coverage(msa, params.coverage)
+        msa = filters.filter_by_coverage(msa, params.coverage, strict=strict)
         if params.select is not None:
             msa = sampling.random_select(msa, params.select, params.seed)
-    return sampling.make_shuffles(msa, params.shuffles, params.group_size, params.seed)
+    return sampling.make_shuffles(msa, params.shuffles, params.group_size, params.seed, strict=strict)
 
 
 def kept_groups(metrics: DataFrame, criteria: list[dict], params: Enrichment) -> DataFrame:
@@ -61,22 +61,23 @@ def gather(members: DataFrame, metrics: DataFrame, criterion: dict, threshold: f
     return recompile.distinct_entries(recompile.groups_of_kept(members, filters.combine_by_threshold(metrics, criterion, threshold), keys))
 
 
-def m_fold(msa: DataFrame, params: Splits) -> DataFrame:
-    """C4: splits of all rounds."""
-    covered = filters.filter_by_coverage(msa, params.coverage)
+def m_fold(msa: DataFrame, params: Splits, strict: bool = False) -> DataFrame:
+    """C4: splits of all rounds. strict: nothing to split is an error."""
+    covered = filters.some_rows(filters.filter_by_coverage(msa, params.coverage, strict=strict), "splits", strict)
     if params.select is not None:
         covered = sampling.random_select(covered, params.select, params.seed)
     return sampling.make_rounds(covered, params.rounds, params.group_size, params.seed)
 
 
-def structure_bins(metrics: DataFrame, metric: str, params: Voting) -> DataFrame:
+def structure_bins(metrics: DataFrame, metric: str, params: Voting, strict: bool = False) -> DataFrame:
+    """B1 or B2 of the structures above the confidence threshold. strict: no structure to bin is an error."""
     make = bin_focused if params.focused else bin_1d
-    return make(filters.filter_plddt(metrics, params.plddt) if params.plddt else metrics, metric, params.bins, params.lo, params.hi)
+    return make(filters.filter_plddt(metrics, params.plddt) if params.plddt else metrics, metric, params.bins, params.lo, params.hi, strict)
 
 
-def vote(members: DataFrame, metrics: DataFrame, source: DataFrame | None, metric: str, params: Voting, keys: list[str]) -> DataFrame:
-    """The consensus bin of every header by one metric."""
-    cast = voting.cast_votes(members, structure_bins(metrics, metric, params), source, keys, ["bin_1"])
+def vote(members: DataFrame, metrics: DataFrame, source: DataFrame | None, metric: str, params: Voting, keys: list[str], strict: bool = False) -> DataFrame:
+    """The consensus bin of every header by one metric. strict: no structure to bin is an error."""
+    cast = voting.cast_votes(members, structure_bins(metrics, metric, params, strict), source, keys, ["bin_1"])
     out = voting.consensus_bin(voting.vote_counts(cast, ["bin_1"]), ["bin_1"])
     return filters.vote_threshold(out, params.threshold) if params.threshold > 0 else out
 
@@ -98,17 +99,6 @@ def recompile_bins(results: DataFrame, source: DataFrame, params: Recompile) ->
     return target.unionByName(control.select(F.lit("control").alias("arm"), "bin_label", "pos", "header", "seq"))
 
 
-def resume(spark: SparkSession, path: str, iteration: int) -> DataFrame:
-    """The stored output of the iteration before; if it is missing, reading fails."""
-    return spark.read.parquet(f"{path}/iteration={iteration - 1}")
-
-
-def store(df: DataFrame, path: str, iteration: int) -> DataFrame:
-    """Write an iteration's output and read it again, which also cuts the plan."""
-    df.write.parquet(f"{path}/iteration={iteration}")
-    return df.sparkSession.read.parquet(f"{path}/iteration={iteration}")
-
-
 def pair_arms(pred: DataFrame, control: DataFrame) -> DataFrame:
     """Every bin label of either arm, with the structures of each."""
     count = lambda df, name: df.groupBy("bin_label").agg(F.count("*").alias(name))

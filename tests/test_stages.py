@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from strandvote.functions import binning
 from strandvote.operators import distributions, filters, recompile, sampling
-from strandvote.plans import params, run, stages
+from strandvote.plans import commit, params, run, stages
 from strandvote.sources import alignments, tables
 
 
@@ -46,22 +44,6 @@ def test_strict_inputs(spark):
             call()
 
 
-def test_exact_quantiles_equal_numpy(spark):
-    """Small groups, a large one that is bracketed, one with many ties, and one of nulls."""
-    rng = np.random.default_rng(2)
-    values = {"few": rng.normal(size=7), "one": np.array([4.0]), "large": rng.normal(size=30_000), "ties": rng.integers(0, 3, 20_000).astype(float)}
-    rows = pd.concat([pd.DataFrame({"k": k, "m": v}) for k, v in values.items()])
-    df = spark.createDataFrame(rows).union(spark.createDataFrame([("none", None)], "k string, m double"))
-    for p in (0.0, 0.2, 0.5, 0.8, 1.0):
-        got = {r["k"]: r["value"] for r in filters.exact_quantile(df, "m", p, ["k"]).collect()}
-        assert set(got) == set(values)
-        for k, v in values.items():
-            assert got[k] == pytest.approx(np.quantile(v, p), abs=1e-12), (k, p)
-        assert filters.exact_quantile(df, "m", p).first()[0] == pytest.approx(rows["m"].quantile(p), abs=1e-12)
-    assert filters.exact_quantile(df.limit(0), "m", 0.5).first()[0] is None
-    assert {r["k"]: r["marker"] for r in distributions.quantile_marker(df, "m", "rmsd", "k").collect()}["none"] is None
-
-
 def test_arms_without_a_second_metric(spark):
     schema = "bin_label string, PDB string, m1 double, m2 double, plddt double"
     pred = spark.createDataFrame([("bin_1", "a_seed_001.pdb", 1.0, None, 80.0), ("bin_2", "b.pdb", 1.0, 2.0, 80.0), ("bin_2", "c.pdb", 1.0, None, 80.0)], schema)
@@ -98,3 +80,54 @@ def test_all_stages_run_and_resume(spark, tmp_path):
     assert len(calls) == 4 and {k: v.count() for k, v in again.items()} == sizes
     with pytest.raises(ValueError, match="alignment"):
         run.run(msa_of(spark, 0), settings, criteria, predict, str(tmp_path / "none"))
+    # a stage without its manifest is what a stopped run left: it is made again, and so is what came from it
+    stopped = tmp_path / "run" / "votes"
+    (stopped / "manifest.json").unlink()
+    with pytest.raises(commit.StaleStage, match="recompiled.*inputs"):
+        run.run(msa_of(spark, 60), settings, criteria, predict, str(tmp_path / "run"))
+    assert len(list(stopped.glob("data-*"))) == 1 and len(calls) == 4
+    redone = run.run(msa_of(spark, 60), settings, criteria, predict, str(tmp_path / "run"), stale="rerun")
+    assert {k: v.count() for k, v in redone.items()} == sizes and len(calls) == 5
+    # another alignment is noticed; a header listed twice counts once, with its last sequence
+    with pytest.raises(commit.StaleStage, match="inputs"):
+        run.run(msa_of(spark, 61), settings, criteria, predict, str(tmp_path / "run"))
+    twice = msa_of(spark, 60).withColumn("seq", F.lit("A")).unionByName(msa_of(spark, 60).withColumn("pos", F.col("pos") + 100))
+    one = run.run(twice, settings, criteria, predict, str(tmp_path / "twice"))
+    assert {k: v.count() for k, v in one.items()} == sizes
+
+
+def test_a_run_without_passing_rows_is_an_error(spark, tmp_path):
+    """An enrichment that filters all away, or an alignment without coverage, ends the run and commits nothing."""
+
+    def predict(members, keys, models, seeds):
+        return members.select(*keys).distinct().withColumns({"m1": F.lit(1.0), "plddt": F.lit(10.0), "PDB": F.lit("x.pdb")})
+
+    base = {"enrichment": {"iterations": 1, "shuffles": 1, "group_size": 5}}
+    with pytest.raises(ValueError, match="alignment"):
+        run.run(msa_of(spark, 20), params.from_dict(base), [{"name": "m1", "type": "tmscore", "method": "above"}], predict, str(tmp_path / "low"))
+    assert not (tmp_path / "low/enrichment/iteration_1/alignment/manifest.json").exists() and (tmp_path / "low/enrichment/iteration_1/metrics/manifest.json").exists()
+    gaps = msa_of(spark, 20).withColumn("seq", F.lit("----"))
+    with pytest.raises(ValueError, match="shuffles"):
+        run.run(gaps, params.from_dict(base), [{"name": "m1", "type": "tmscore", "method": "above"}], predict, str(tmp_path / "gaps"))
+    none = msa_of(spark, 0).withColumns({"m": F.lit(1.0), "plddt": F.lit(1.0), "structure_id": F.lit(1)})
+    for call in (lambda: stages.m_fold(gaps, params.Splits(), strict=True), lambda: stages.prepare_iteration(gaps, params.Enrichment(), strict=True), lambda: stages.vote(none, none, None, "m", params.Voting(), ["structure_id"], strict=True)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_only_missing_groups_are_predicted(spark, tmp_path):
+    """Structures that a stopped predictor left are taken as they are."""
+    asked = []
+
+    def score(members, keys):
+        return members.groupBy(*keys).agg(F.count("*").cast("double").alias("m1"), F.lit(90.0).alias("plddt"), F.lit("a.pdb").alias("PDB"))
+
+    def predict(members, keys, models, seeds):
+        asked.append({tuple(r) for r in members.select(*keys).distinct().collect()})
+        return score(members, keys)
+
+    members = spark.createDataFrame([(g, f"h{i}") for i, g in enumerate([1, 1, 2, 2, 3])], "grp int, header string")
+    got = run.predicted(members, ["grp"], 1, 1, predict, lambda keys: score(members.where("grp <> 2"), keys))
+    assert asked == [{(2,)}] and got.orderBy("grp").select("grp", "m1").collect() == score(members, ["grp"]).orderBy("grp").select("grp", "m1").collect()
+    run.predicted(members, ["grp"], 1, 1, predict, lambda keys: score(members, keys))
+    assert len(asked) == 1
