@@ -66,20 +66,55 @@ def scatter_table(df: DataFrame, m1: str, m2: str) -> DataFrame:
     return df.select(F.col(m1).alias("m1"), F.col(m2).alias("m2"), confidence(df).alias("confidence")).orderBy("confidence")
 
 
+#: Width of a cell and farthest distance at which it counts, in bandwidths; terms of an expansion.
+CELL, REACH, TERMS = 0.5, 9.0, 16
+
+
+def _hermite(terms: int) -> list[list[int]]:
+    """Coefficients of the probabilists' Hermite polynomials, from the constant on."""
+    out = [[1], [0, 1]]
+    for k in range(2, terms):
+        up, down = [0, *out[-1]], [(k - 1) * c for c in out[-2]] + [0, 0]
+        out.append([a - b for a, b in zip(up, down, strict=True)])
+    return out
+
+
 def kde_marginals(df: DataFrame, metric: str, points: int = 200, cut: float = 3.0) -> DataFrame:
-    """X and density of a Gaussian kernel estimate with Scott's bandwidth on an even grid.
+    """Point, x and density of a Gaussian kernel estimate with Scott's bandwidth on an even grid; no spread gives no curve.
 
-    Rows of equal value are counted first; the grid is points rows. No spread gives no curve.
+    A fast Gauss transform: values are summed by cells half a bandwidth wide, as moments around the cell's middle,
+    and a cell counts at the grid points within nine bandwidths. With t the distance from the middle and u that of
+    a grid point, exp(-(u - t)^2 / 2) is exp(-u^2 / 2) times the sum of t^k / k! He_k(u). By Cramer's bound on He_k
+    what follows 16 terms is under 1e-16 of a value's weight, and what lies beyond nine bandwidths under 3e-18.
     """
     stats = df.where(F.col(metric).isNotNull()).agg(F.count("*").alias("_n"), F.stddev_samp(metric).alias("_sd"), F.min(metric).cast("double").alias("_lo"), F.max(metric).cast("double").alias("_hi"))
     stats = stats.where("_n > 1 AND _sd > 0").withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    lo, hi = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
-    grid = stats.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("_n", "_h", "_k", (lo + F.col("_k") * ((hi - lo) / (points - 1))).alias("x"))
-    values = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).cast("double").alias("_v")).agg(F.count("*").alias("_w"))
-    both = values.crossJoin(F.broadcast(grid))  # points rows
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    total = both.groupBy("_k", "x", "_n", "_h").agg(F.sum(F.col("_w") * F.exp(-0.5 * z * z)).alias("s"))
-    return total.select(F.col("_k").alias("point"), "x", (F.col("s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
+    first, last = F.col("_lo") - cut * F.col("_h"), F.col("_hi") + cut * F.col("_h")
+    stats = stats.select("_n", "_h", "_lo", first.alias("_first"), ((last - first) / (points - 1)).alias("_step"))
+    at = (F.col(metric).cast("double") - F.col("_lo")) / F.col("_h")
+    placed = df.where(F.col(metric).isNotNull()).crossJoin(F.broadcast(stats)).select(F.floor(at / CELL).cast("long").alias("_cell"), at.alias("_at"))  # one row
+    t = F.col("_at") - (F.col("_cell") + 0.5) * CELL
+    moments, power = [], F.lit(1.0)
+    for k in range(TERMS):
+        moments.append((F.sum(power) / math.factorial(k)).alias(f"_m{k}"))
+        power = power * t
+    cells = placed.groupBy("_cell").agg(*moments)
+    table = _hermite(TERMS)
+    factors = [sum((F.col(f"_m{k}") * float(table[k][j]) for k in range(j, TERMS) if table[k][j]), F.lit(0.0)).alias(f"_a{j}") for j in range(TERMS)]
+    middle = F.col("_lo") + (F.col("_cell") + 0.5) * CELL * F.col("_h")
+    cells = cells.crossJoin(F.broadcast(stats)).select("_h", "_first", "_step", middle.alias("_middle"), *factors)  # one row
+    reach = lambda side: (F.col("_middle") + side * REACH * F.col("_h") - F.col("_first")) / F.col("_step")
+    near = cells.withColumn("_from", F.greatest(F.lit(0), F.ceil(reach(-1)).cast("int"))).withColumn("_to", F.least(F.lit(points - 1), F.floor(reach(1)).cast("int")))
+    near = near.where("_from <= _to").withColumn("_k", F.explode(F.sequence("_from", "_to")))
+    x = F.col("_first") + F.col("_k") * F.col("_step")
+    near = near.withColumn("_u", (x - F.col("_middle")) / F.col("_h"))
+    value = F.col(f"_a{TERMS - 1}")
+    for j in range(TERMS - 2, -1, -1):
+        value = value * F.col("_u") + F.col(f"_a{j}")
+    total = near.groupBy("_k").agg(F.sum(F.exp(-0.5 * F.col("_u") * F.col("_u")) * value).alias("_s"))
+    grid = stats.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    density = F.coalesce("_s", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return grid.join(total, "_k", "left").select(F.col("_k").alias("point"), x.alias("x"), density.alias("density"))
 
 
 def quantile_marker(df: DataFrame, metric: str, kind: str, key: str = "iteration") -> DataFrame:

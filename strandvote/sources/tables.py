@@ -1,4 +1,4 @@
-"""Metrics, votes and criteria on disk."""
+"""Metrics, votes and criteria on disk (S4-S6, K3-K5; raw votes are read by votes_json)."""
 
 from __future__ import annotations
 
@@ -40,15 +40,6 @@ def read_voting_results(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in ints} | {c: F.col(c).cast("long") for c in ("Vote_Count", "Total_Votes") if c in df.columns})
 
 
-def read_raw_votes(spark: SparkSession, path: str) -> DataFrame:
-    """Header and bin of every raw vote, from one JSON object of lists or a line of {header, bins} each."""
-    text = spark.read.option("wholetext", True).text(path)
-    is_lines = F.col("value").startswith('{"header"')
-    lines = text.where(is_lines).select(F.explode(F.split("value", "\n")).alias("line")).select(F.from_json("line", "header string, bins array<int>").alias("r")).select("r.header", "r.bins")
-    objects = text.where(~is_lines).select(F.explode(F.from_json("value", "map<string,array<int>>")).alias("header", "bins"))
-    return lines.union(objects).where("header IS NOT NULL").select("header", F.explode("bins").alias("bin"))
-
-
 def load_criteria(text: str) -> dict:
     """The criteria of a JSON text; without filter_criteria it is an error."""
     out = json.loads(text)

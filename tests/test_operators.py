@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandvote.functions import binning, text
 from strandvote.operators import distributions, filters, recompile, sampling, structure, voting
 from strandvote.plans import params, stages
-from strandvote.sources import alignments, structures, tables
+from strandvote.sources import alignments, structures, tables, votes_json
 
 
 def col(spark, value, expr):
@@ -227,9 +227,9 @@ def test_vote_files(spark, tmp_path):
     got = tables.read_voting_results(spark, str(tmp_path / "v.csv")).first()
     assert (got["Sequence_Header"], got["Bin_Assignment"], got["Total_Votes"]) == ("a", 3, 4)
     (tmp_path / "raw.json").write_text('{"a": [1, 1], "b": [2]}')
-    assert sorted(tuple(r) for r in tables.read_raw_votes(spark, str(tmp_path / "raw.json")).collect()) == [("a", 1), ("a", 1), ("b", 2)]
-    tables.write_raw_votes(tables.read_raw_votes(spark, str(tmp_path / "raw.json")), str(tmp_path / "lines"))
-    assert tables.read_raw_votes(spark, str(tmp_path / "lines")).count() == 3
+    assert sorted(tuple(r) for r in votes_json.read_raw_votes(spark, str(tmp_path / "raw.json")).collect()) == [("a", 1), ("a", 1), ("b", 2)]
+    tables.write_raw_votes(votes_json.read_raw_votes(spark, str(tmp_path / "raw.json")), str(tmp_path / "lines"))
+    assert votes_json.read_raw_votes(spark, str(tmp_path / "lines")).count() == 3
 
 
 def test_histograms_close_the_last_bin(spark):
