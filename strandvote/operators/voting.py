@@ -12,12 +12,16 @@ def pair_groups_structures(groups: DataFrame, structures: DataFrame, keys: list[
 
 
 def cast_votes(members: DataFrame, structure_bins: DataFrame, source: DataFrame | None, keys: list[str], bins: list[str], header: str = "header") -> DataFrame:
-    """One vote, header and bins, for each row of a group whose structure has a bin; headers outside source don't vote."""
-    rows = members.select(*keys, header)
-    if source is not None:
-        rows = rows.join(source.select(header), header, "left_semi")
+    """One vote, header and bins, for each row of a group whose structure has a bin; headers outside source don't vote.
+
+    Groups meet their bins first, so tables bucketed by keys are joined as they lie. (A semi join would be moved
+    below that join, and members dealt by header and then by their keys.)
+    """
     voted = structure_bins.where(" AND ".join(f"{b} IS NOT NULL" for b in bins)).select(*keys, *bins)
-    return rows.join(voted, keys).select(header, *bins)
+    rows = members.select(*keys, header).join(voted, keys)
+    if source is not None:
+        rows = rows.join(source.select(header).distinct(), header)
+    return rows.select(header, *bins)
 
 
 def vote_counts(votes: DataFrame, bins: list[str], header: str = "header") -> DataFrame:
