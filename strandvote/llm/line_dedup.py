@@ -123,20 +123,32 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], [x.split()[0] for x in _WINDOWS.split(", ")])
 
 
-def _runs(places: Column) -> Column:
-    """Runs (a, b), b after the last line, that sorted windows' places cover; windows that touch are one run."""
-    kind = "array<struct<a: int, b: int>>"
-    a = lambda p: F.shiftright(p, _BITS).cast("int")
-    b = lambda p: (a(p) + p.bitwiseAND(F.lit((1 << _BITS) - 1))).cast("int")
-    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
-    closed = lambda s: F.when(s["a"] >= 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["done"])
-
-    def put(s: Column, p: Column) -> Column:
-        joins = (s["a"] >= 0) & (a(p) <= s["b"])
-        more = F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], b(p)).alias("b"))
-        return F.when(joins, more).otherwise(F.struct(closed(s).alias("done"), a(p).alias("a"), b(p).alias("b")))
-
-    return F.aggregate(places, zero, put, closed)
+def _covered(places: pa.Array) -> pa.Array:
+    """The lines, from 0 and in order, that windows at these places cover, for each list of places."""
+    flat, sizes = places.flatten().to_numpy(zero_copy_only=False), places.value_lengths().to_numpy(zero_copy_only=False)
+    out, ends = [np.zeros(0, np.int64)], [0]
+    for own in np.split(flat, np.cumsum(sizes)[:-1]):
+        start, n = own >> _BITS, own & ((1 << _BITS) - 1)
+        edge = np.zeros(int((start + n).max(initial=0)) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + n, -1)
+        out.append(np.flatnonzero(np.cumsum(edge) > 0))
+        ends.append(ends[-1] + len(out[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+
+
+def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    """Texts without the lines of these numbers; null stays null."""
+    out = []
+    for text, numbers in zip(texts, removed, strict=True):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        lines = text.as_py().split("\n")
+        keep = np.ones(len(lines), bool)
+        keep[numbers.values.to_numpy(zero_copy_only=False)] = False
+        out.append("\n".join([lines[i] for i in np.flatnonzero(keep).tolist()]))
+    return pa.array(out, pa.string())
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -150,8 +162,7 @@ def _found(docs: DataFrame) -> DataFrame:
     firsts = held.groupBy("key", "check").agg(F.min(F.struct("doc_id", "text_hash", "uid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = written(firsts.select("key", "check", F.col("first.uid").alias("first"), F.col("first.place").alias("first_place"), "n"), "first-windows")
     later = spread(held, firsts, ["key", "check"], "uid", "n").where("uid <> first OR place <> first_place")
-    runs = later.groupBy("uid").agg(_runs(F.array_sort(F.collect_list("place"))).alias("runs"))
-    gone = runs.select("uid", F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1))).alias("gone"))
+    gone = later.groupBy("uid").agg(F.collect_list("place").alias("places")).select("uid", F.arrow_udf(_covered, "array<int>")("places").alias("gone"))
     gone = written(gone, "gone")
     forget(shared, held, firsts)
     # one plan at every size, so that what small tables show holds for large ones
@@ -180,9 +191,9 @@ def _removed(found: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, text without its repeated lines, n_lines, n_removed and words_removed, one row a document."""
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))
-    return _removed(_found(docs)).select("doc_id", text.alias("text"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "words_removed")
+    some = F.size("removed") > 0
+    kept = F.arrow_udf(_without, "string")(F.when(some, F.col("text")), "removed")
+    return _removed(_found(docs)).select("doc_id", F.when(some, kept).otherwise(F.col("text")).alias("text"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "words_removed")
 
 
 def op2_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,11 @@ def test_repeated_row_keeps_its_first(make):
     text = passage(random.Random(3), 6)[0]
     got = sorted(r["n_removed"] for r in line_dedup.cleaned(make([(1, text), (1, text), (1, text)])).collect())
     assert got == [0, 6, 6]
+
+
+def test_long_repeated_texts(make):
+    """Half of 60,000 lines repeat; cost is by line, not by pairs of lines."""
+    half = [f"line {i} of the part that stands twice" for i in range(30_000)]
+    text = "\n".join([*half, "between", *half])
+    got = line_dedup.cleaned(make([(1, text), (2, "some other line")])).where("doc_id = 1").first()
+    assert got["n_removed"] == 30_000 and got["text"] == "\n".join([*half, "between"])
