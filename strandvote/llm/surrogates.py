@@ -21,7 +21,8 @@ KEY, ROUNDS = "surrogates-1", 25
 
 _TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dra|Госпожа|Κυρία", "any": "Dr|Prof|Доктор|Профессор"}
 _TITLE = "|".join(_TITLES.values())
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+#: A part of a name; an apostrophe before a last s is no part of it.
+_NAME = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L}))){1,40}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in the order in which they are tried, all at a place that follows no letter or digit, so that the inside
 #: of words is passed over by one check; no part holds a group that could run back over a long text.
@@ -34,7 +35,7 @@ PATTERNS = {
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "card": r"(?<!-)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
-    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,3}}",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -162,7 +163,7 @@ def core(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
 def _kind(mention: Column) -> Column:
     """The first kind of PATTERNS that the mention is, judged without what stands around it."""
     out = F.when(mention.rlike(r"^[^@\s]+@[^@\s]+$"), "email").when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
-    out = out.when(mention.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]+::[0-9A-Fa-f:]+$"), "ip6").when(mention.rlike(rf"^(?:{_TITLE})\.? {_NAME}(?: {_NAME})?$"), "name")
+    out = out.when(mention.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]+::[0-9A-Fa-f:]+$"), "ip6").when(mention.rlike(rf"^(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,3}}$"), "name")
     out = out.when(mention.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+$"), "iban").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     out = out.when(mention.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})$"), "card")
     return out.when(mention.rlike(r"^[+(\d][\d .()+-]*$") & (F.length(F.regexp_replace(mention, r"\D", "")) <= 13), "phone").otherwise("secret")
@@ -186,18 +187,24 @@ def _masculine(surname: Column) -> Column:
 
 
 def entities(mentions: DataFrame) -> DataFrame:
-    """mentions (column mention) with kind_1, canon_1 and, for names of two words, kind_2, canon_2."""
+    """mentions (columns mention and, of several rows, row) with kind_1, canon_1 and, for names of two words and more, kind_2, canon_2.
+
+    The last word is the surname. A full name has one gender in a row: that of its own title, else that of another
+    mention's title, else what the first word's ending says.
+    """
     m, kind = F.col("mention"), F.col("_kind")
     bare = _bare(m)
     two = (kind == "name") & bare.contains(" ")
     by_ending = F.when(F.substring_index(bare, " ", 1).rlike("[aаяαη]$"), "f").otherwise("m")
-    gender = F.when(m.rlike(rf"^(?:{_TITLES['m']})\.? "), "m").when(m.rlike(rf"^(?:{_TITLES['f']})\.? "), "f").otherwise(by_ending)
+    titled = F.when(m.rlike(rf"^(?:{_TITLES['m']})\.? "), "m").when(m.rlike(rf"^(?:{_TITLES['f']})\.? "), "f")
+    of_row = ["row"] if "row" in mentions.columns else []
+    gender = F.coalesce("_titled", F.max("_titled").over(W.partitionBy(*of_row, F.lower(bare))), by_ending)
     script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    digits, first, last = F.regexp_replace(m, r"\D", ""), F.lower(F.substring_index(bare, " ", 1)), _masculine(F.lower(F.substring_index(bare, " ", -1)))
+    digits, first, last = F.regexp_replace(m, r"\D", ""), F.lower(F.regexp_replace(bare, " [^ ]+$", "")), _masculine(F.lower(F.substring_index(bare, " ", -1)))
     canon = F.when(kind == "email", F.lower(m)).when(kind == "ip6", _ip6_groups(m)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "name", F.when(two, first).otherwise(last)).otherwise(m)
     plain = (script == "cyrillic") & ~last.rlike(_MASCULINE_CYRILLIC)
     surname = F.when(plain, "surname_plain").otherwise(F.concat(F.lit("surname_"), script))
-    out = mentions.withColumn("_kind", _kind(m))
+    out = mentions.withColumns({"_kind": _kind(m), "_titled": titled})
     return out.select(
         *mentions.columns, F.when(two, F.concat_ws("_", F.lit("given"), gender, script)).when(kind == "name", surname).otherwise(kind).alias("kind_1"),
         canon.alias("canon_1"), F.when(two, surname).alias("kind_2"), F.when(two, last).alias("canon_2"),
@@ -322,7 +329,16 @@ def _declined(mention: Column, surname: Column) -> Column:
 def _new_name(mention: Column, core_1: Column, core_2: Column) -> Column:
     """The surrogate of a name, without its title."""
     one, two = F.when(core_2.isNull(), _declined(mention, core_1)).otherwise(core_1), _declined(mention, core_2)
-    return F.concat_ws(" ", F.initcap(one), F.initcap(two))
+    bare = _bare(mention)
+    first, last = F.regexp_replace(bare, " [^ ]+$", ""), F.substring_index(bare, " ", -1)
+    return F.concat_ws(" ", _in_form(F.when(core_2.isNull(), last).otherwise(first), one), _in_form(last, two))
+
+
+def _in_form(mention: Column, core_1: Column) -> Column:
+    """A name's core in capitals if the mention is, and in two parts if the mention has a hyphen."""
+    half = F.floor(F.length(core_1) / 2).cast("int")
+    name = F.when(mention.contains("-"), F.concat(F.initcap(F.substring(core_1, F.lit(1), half)), F.lit("-"), F.initcap(F.substring(core_1, half + 1, F.length(core_1))))).otherwise(F.initcap(core_1))
+    return F.when(mention == F.upper(mention), F.upper(name)).otherwise(name)
 
 
 def rendered(kind: Column, mention: Column, core_1: Column, core_2: Column) -> Column:

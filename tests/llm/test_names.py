@@ -33,3 +33,26 @@ def test_ip6(make):
     a, b = short.split("::")
     assert [x.lstrip("0").lower() or "0" for x in long.split(":")] == [*a.split(":"), "0", "0", "0", *b.split(":")]  # one address, two formats
     assert re.fullmatch(r"at [0-9a-f]{4}::[0-9a-f]\.", got[2]) and got[2] != texts[2] and got[3] == texts[3]
+
+
+def test_one_person_has_one_name(make):
+    """Titles without a gender take that of another mention in the document."""
+    rows = [(1, "Mrs. Elizabeth Brown came. Dr. Elizabeth Brown spoke. Then Elizabeth Brown left."), (2, "Dr. Andrea Rossi and Mr. Andrea Rossi; Mrs. Andrea Rossi too")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replaced(make(rows)).collect()}
+    name = re.match(r"Mrs\. (\w+ \w+) came", got[1])[1]
+    assert got[1] == f"Mrs. {name} came. Dr. {name} spoke. Then {name} left." and name.split()[0].endswith("a") | (name.split()[0] in ("Irene",))
+    men = re.match(r"Dr\. (\w+ \w+) and Mr\. (\w+ \w+); Mrs\. (\w+ \w+) too", got[2]).groups()
+    assert men[0].split()[1] == men[1].split()[1] == men[2].split()[1] and men[1] != men[2]
+
+
+def test_long_names_possessives_and_forms(make):
+    rows = [(1, "Ms. Mary Jane Watson came; Mary Jane Watson left."), (2, "Mr. John Smith's dog, and John Smith’s cat. Mr. John Smith"), (3, "Mr. JOHN SMITH and Mr. John Smith"), (4, "Mrs. Anne-Marie Smith-Jones and Mr. D'Arcy O'Neil"), (5, "Mr. Ross's car")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replaced(make(rows)).collect()}
+    name = re.match(r"Ms\. (\w+ \w+) came", got[1])[1]
+    assert got[1] == f"Ms. {name} came; {name} left." and not re.search("Mary|Jane|Watson", got[1])
+    name = re.match(r"Mr\. (\w+ \w+)'s dog", got[2])[1]
+    assert got[2] == f"Mr. {name}'s dog, and {name}’s cat. Mr. {name}"
+    loud, plain = re.match(r"Mr\. (.+) and Mr\. (.+)", got[3]).groups()
+    assert loud == plain.upper() and plain == name
+    assert re.fullmatch(r"Mrs\. \w+-\w+ \w+-\w+ and Mr\. \w+ \w+", got[4]) and not re.search("Anne|Marie|Smith|Jones|Arcy|Neil", got[4])
+    assert re.fullmatch(r"Mr\. \w+'s car", got[5]) and "Ross" not in got[5]
