@@ -263,4 +263,14 @@ drawn AS (SELECT pos, header, row_number() OVER (ORDER BY md5('11|0|' || header)
 SELECT 'prediction' AS arm, 'bin_1_5_9' AS bin_label, pos, header FROM chosen UNION ALL
 SELECT 'control', 'bin_1_5_9', pos, header FROM drawn WHERE rank <= (SELECT count(*) FROM chosen)""",
     "union_iterations": f"WITH {METRIC} SELECT iteration, count(*) AS structures, max(metric1) AS top FROM metric WHERE iteration <= 1996 GROUP BY 1",
+    "group_files": f"WITH {MEMBER}, {_ENTRIES} SELECT DISTINCT CAST(structure_id % 40 AS INTEGER) AS grp, header, seq FROM entries UNION ALL SELECT DISTINCT CAST(structure_id % 40 AS INTEGER), '101', 'QQ' FROM entries",
+    "raw_votes_file": VOTES + " SELECT CAST(header AS VARCHAR) AS header, bin, count(*) AS n FROM votes GROUP BY ALL",
+    "voting_results_file": VOTE_FOCUSED + " SELECT * REPLACE (CAST(Sequence_Header AS VARCHAR) AS Sequence_Header) FROM result",
+    "aligner_scores": f"WITH {METRIC} SELECT CAST(structure_id AS VARCHAR) AS PDB, plddt, metric1 FROM metric WHERE plddt > 50 AND metric1 > 200000",
+    "criterion_atoms": f"""WITH {CA}, residues AS (SELECT 'fit' AS name, 'sup' AS role, unnest(range(1, 12)) AS res_seq UNION ALL SELECT 'fit', 'rms', unnest(range(1, 22)) UNION ALL SELECT 'gap', 'set1', unnest([1, 2]) UNION ALL SELECT 'gap', 'set2', unnest(range(18, 22)))
+SELECT name, role, count(*) AS atoms, round(avg(CAST(structure_id % 100 AS DOUBLE)), 6) AS confidence FROM ca JOIN residues USING (res_seq) GROUP BY name, role""",
+    "vote_arrivals": VOTE_FOCUSED + " SELECT * FROM result",
+    "late_predictions": f"WITH {MEMBER} SELECT structure_id, avg(header) AS m1, count(*) AS seq_count FROM member GROUP BY 1",
+    "bucketed_votes": VOTE_FOCUSED + " SELECT * FROM result",
 }
+ORACLE_SQL["resumed_step"] = ORACLE_SQL["enrich_step"]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import views as v
 from .functions import binning, text
 from .operators import distributions as dist
-from .operators import filters, recompile, sampling, structure, voting
-from .plans import stages
+from .operators import filters, recompile, sampling, structure, tm_search, voting
+from .plans import arrival, commit, layout, run, stages
 from .plans.params import Comparison, Enrichment, Recompile, Splits, Voting
-from .sources import alignments, structures, tables
+from .sources import alignments, named, structures, tables, votes_json
+from .storage import shared_dir
 
 KEYS = ["structure_id"]
 BINS = 20
@@ -376,6 +380,92 @@ def job_log_status(s: SparkSession, d: str) -> DataFrame:
     return structures.log_status(lines)
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def group_files(s: SparkSession, d: str) -> DataFrame:
+    """Alignment files of groups, written under their names (K1) and read again."""
+    path = _folder(s, "groups")
+    named.write_group_files(_entries(s, d).withColumn("group", F.col("structure_id") % 40), path, ["group"], "QQ")
+    back = alignments.read_a3m(s, f"{path}/*.a3m")
+    return back.select(F.regexp_extract("msa_id", r"group_([0-9]+)\.a3m$", 1).cast("int").alias("grp"), "header", "seq")
+
+
+def raw_votes_file(s: SparkSession, d: str) -> DataFrame:
+    """Raw votes as lines of JSON (K5), read again."""
+    path = _folder(s, "votes")
+    tables.write_raw_votes(_votes(s, d), path)
+    return votes_json.read_raw_votes(s, path).groupBy("header", "bin").agg(F.count("*").alias("n"))
+
+
+def voting_results_file(s: SparkSession, d: str) -> DataFrame:
+    """Voting results as CSV (K4), read again."""
+    path = _folder(s, "results")
+    tables.write_voting_results(vote_focused(s, d), path)
+    return tables.read_voting_results(s, path)
+
+
+def aligner_scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores of an aligner come in as a column of a metrics file (K3, S4), and are filtered as any metric."""
+    path = _folder(s, "scores")
+    tables.write_metrics(v.metrics(s, d).select(F.col("structure_id").alias("PDB"), "plddt", "metric1"), path)
+    return filters.combine_by_threshold(tables.read_metrics(s, path, ["metric1"], 50.0), ABOVE_BELOW[0], 200_000)
+
+
+def criterion_atoms(s: SparkSession, d: str) -> DataFrame:
+    """Atoms and their mean confidence of each role of criteria that are read from a file."""
+    path = _folder(s, "criteria")
+    criteria = {
+        "basics": {"full_index": {"start": 1, "end": 21}},
+        "filter_criteria": [{"name": "fit", "type": "rmsd", "method": "below", "superposition_indices": {"start": 1, "end": 11}}, {"name": "gap", "type": "distance", "method": "above", "indices": {"set1": [1, 2], "set2": [{"start": 18, "end": 21}]}}],
+    }
+    commit.Folder(s, path).write("criteria.json", json.dumps(criteria))
+    residues = tables.criterion_residues(s, f"{path}/criteria.json")
+    return v.ca_atoms(s, d).join(F.broadcast(residues), "res_seq").groupBy("name", "role").agg(F.count("*").alias("atoms"), F.round(F.avg("b_factor"), 6).alias("confidence"))  # a settings file
+
+
+def vote_arrivals(s: SparkSession, d: str) -> DataFrame:
+    """Structures come in three files; each one's votes are added to those before."""
+    path, m = _folder(s, "arrivals"), v.metrics(s, d).select("structure_id", "metric1", "plddt")
+    m.repartition(3).write.parquet(f"{path}/in")
+    state = arrival.VoteState(s, path, "long", Voting(bins=BINS, lo=50_000, hi=300_000, focused=True), "metric1")
+    stream = s.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return arrival.absorb_votes(stream, path, state, v.members(s, d), v.source(s, d), KEYS).consensus()
+
+
+def late_predictions(s: SparkSession, d: str) -> DataFrame:
+    """J7 in a run: a third of the structures are there already, and only the other groups are predicted."""
+    score = lambda members, keys: members.groupBy(*keys).agg(F.avg("header").alias("m1"), F.count("*").alias("seq_count"))
+    members = v.members(s, d)
+    return run.predicted(members, KEYS, 1, 1, lambda rest, keys, _m, _s: score(rest, keys), lambda keys: score(members.where("structure_id % 3 = 0"), keys))
+
+
+def resumed_step(s: SparkSession, d: str) -> DataFrame:
+    """A step of enrichment that was committed is read by the next run."""
+    path, settings = _folder(s, "run"), Enrichment(plddt=50.0, quantile=0.2)
+    make = lambda: enrich_step(s, d)
+    first = commit.Stages(s, path).once("alignment", make, settings, strict=True)
+    again = commit.Stages(s, path).once("alignment", make, settings, strict=True)
+    if again.id != first.id:
+        raise AssertionError("a committed stage was made again")
+    return again.df
+
+
+def bucketed_votes(s: SparkSession, d: str) -> DataFrame:
+    """J2, J3 on tables that lie in buckets of the group."""
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))
+    bins = stages.structure_bins(v.metrics(s, d), "metric1", Voting(bins=BINS, lo=50_000, hi=300_000, focused=True))
+    cast = voting.cast_votes(layout.bucketed(v.members(s, d), KEYS, n), layout.bucketed(bins.select("structure_id", "bin_1"), KEYS, n), v.source(s, d), KEYS, ["bin_1"])
+    return voting.consensus_bin(voting.vote_counts(cast, ["bin_1"]), ["bin_1"])
+
+
+def tm_score_searched(s: SparkSession, d: str) -> DataFrame:
+    """G6b by search; SQL can't express the rounds, so it is tested against a plain search."""
+    atoms = v.ca_atoms(s, d)
+    return _rounded(tm_search.tm_score_searched(atoms, _reference(atoms)), "tm_searched")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -385,6 +475,7 @@ QUERIES = {
         enrich_step, gather, hist_by_iteration, hist_1d, quantile_marker, summary, kde_marginals, scatter_table, center_of_mass, residue_distance, domain_angle, rmsd, ca_rmsd,
         ca_rmsd_two_sets, all_atom_rmsd, tm_score_paired, all_metrics, pdb_atoms, protein_sequence, path_keys, missing_predictions, prediction_manifest, recompile_bins,
         arm_metrics, pair_arms, union_rounds, merge_metric_files, job_log_status, combine_by_rmsd, select_metrics, order_by_confidence, prepare_iteration, concat_groups,
-        superposed_metrics, combined_manifest, recompile_combined, union_iterations,
+        superposed_metrics, combined_manifest, recompile_combined, union_iterations, group_files, raw_votes_file, voting_results_file, aligner_scores, criterion_atoms,
+        vote_arrivals, late_predictions, resumed_step, bucketed_votes, tm_score_searched,
     )
 }
