@@ -53,6 +53,13 @@ def test_equals_svd_and_single_operators(case):
         assert r["whole"] == pytest.approx(svd_rmsd(p, first, slice(None), slice(None)), abs=1e-6), name
         assert r["moved"] == pytest.approx(svd_rmsd(p, first, slice(0, 8), slice(None)), abs=1e-6), name
         assert r["back"] == pytest.approx(svd_rmsd(p, second, slice(None), slice(0, 5)), abs=1e-6), name
+    # all atoms: CA of some residues make the pose, both atoms of others are measured
+    i = np.arange(1, N + 1)
+    beside = np.stack([0.5 * (i % 3), np.ones(N), -0.3 * i], 1)
+    both = lambda p: np.concatenate([p, p + beside])
+    sup, rms = [k - 1 for k in (2, 3, 4, 5, 6, 9)], [*range(2, 19), *range(N + 2, N + 19)]
+    for name in ("first", "second", "turned", "near"):
+        assert got[name]["every"] == pytest.approx(svd_rmsd(both(sets[name]), both(first), sup, rms), abs=1e-6), name
     whole = list(range(1, N + 1))
     every = {r["structure_id"]: r["all_atom_rmsd"] for r in structure.all_atom_rmsd(atoms, refs["first"], [2, 3, 4, 5, 6, 9], list(range(3, 20))).collect()}
     tm = {r["structure_id"]: r["tm_paired"] for r in structure.tm_score_paired(atoms, refs["first"]).collect()}
