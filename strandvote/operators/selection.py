@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 #: Quantiles and accuracy of a sketch; values that one window holds at most.
-GRID, ACCURACY, HELD = 1000, 10_000, 50_000
+GRID, ACCURACY, HELD = 1000, 10_000, 500_000
 INF = float("inf")
 
 

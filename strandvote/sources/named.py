@@ -10,11 +10,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 PENDING = "_pending"
@@ -34,14 +36,14 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class NamedFilesWriter(DataSourceWriter):
+class NamedFilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str, job: str):
         self.path, self.job = path, job
 
     def _pending(self, root: str) -> str:
         return f"{root}/{PENDING}-{self.job}"
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Rows (file, value), those of a file one after the other."""
         where, root = file_system(self.path)
         folder = f"{self._pending(root)}/{uuid.uuid4().hex}"
@@ -49,14 +51,16 @@ class NamedFilesWriter(DataSourceWriter):
         files: list[tuple[str, str]] = []
         name, out = None, None
         try:
-            for row in iterator:
-                if row["file"] != name:
-                    if out is not None:
-                        out.close()
-                    name = row["file"]
-                    files.append((f"{folder}/{len(files)}", name))
-                    out = where.open_output_stream(files[-1][0])
-                out.write((row["value"] + "\n").encode())
+            for batch in iterator:
+                rows = zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True)
+                for file, lines in groupby(rows, lambda r: r[0]):
+                    if file != name:
+                        if out is not None:
+                            out.close()
+                        name = file
+                        files.append((f"{folder}/{len(files)}", name))
+                        out = where.open_output_stream(files[-1][0])
+                    out.write("".join(value + "\n" for _, value in lines).encode())
         finally:
             if out is not None:
                 out.close()
@@ -103,7 +107,8 @@ def write_named(rows: DataFrame, path: str, order: list[str], partitions: int |
     dealt.write.format("named_files").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
 
 
-def record(header: str = "header", seq: str = "seq"):
+def record(header: str = "header", seq: str = "seq") -> Column:
+    """A record of an alignment file."""
     return F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(seq))
 
 
