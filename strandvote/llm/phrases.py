@@ -30,6 +30,8 @@ from .common import forget, internal, spread, table, written
 LONGEST, LEAST, MOST = 3, 10, 2000
 #: Share of a phrase's occurrences, as a fraction of 100, that a longer one must cover to take its place.
 COVERED = 50
+#: Parts in which the first phrases of a language are sought.
+PARTS = 256
 #: Bytes of text of a block, and fingerprints of a bucket; one byte of text has PER_BYTE fingerprints or so.
 BLOCK, BUCKET, PER_BYTE = 1 << 20, 500_000, 0.35
 #: Primes below 2**31 and bases of the two polynomials.
@@ -288,8 +290,12 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, mo
 
 def top(phrases: DataFrame, totals: DataFrame, most: int = MOST) -> DataFrame:
     """The first phrases of each language by score, occurrences and bytes, with their rank and the words of the language."""
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = phrases.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")
+    # the first of each of PARTS parts of a language hold the first of all
+    parted = phrases.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    near = parted.withColumn("rank", place("lang", "_part")).where(F.col("rank") <= most).drop("_part")
+    ranked = near.withColumn("rank", place("lang")).where(F.col("rank") <= most)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
