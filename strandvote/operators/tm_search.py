@@ -49,8 +49,10 @@ def tm_score_searched(atoms: DataFrame, ref: DataFrame, chain: str = "A", name:
     square = sum(((c - F.col(f"r{a}")) ** 2 for a, c in sp.rotated("t", "r").items()), F.lit(0.0))
     for _ in range(rounds):
         sums = state.where("chosen").groupBy(*keys).agg(*sp.cross_sums("t", "r"))
-        pose = sums.withColumns(sp.polynomial()).withColumn("root", sp.largest_root()).withColumn("q", sp.quaternion()).where("q IS NOT NULL")
-        moved = state.join(pose.select(*keys, "q", *[f"m_{p}{a}" for p in "tr" for a in sp.AXES]), keys).withColumn("_d2", square)
+        pose = sums.withColumns(sp.polynomial()).withColumn("root", sp.largest_root()).withColumn("q", sp.quaternion())
+        # stored before q is looked at: a condition on q would be moved below the roots and repeat them for each of their uses
+        pose = stored(pose.select(*keys, "q", *[f"m_{p}{a}" for p in "tr" for a in sp.AXES]), "tm-pose").where("q IS NOT NULL")
+        moved = state.join(pose, keys).withColumn("_d2", square)
         whole = W.partitionBy(*keys)
         third = F.element_at(F.array_sort(F.collect_list("_d2").over(whole)), F.least(F.lit(3), F.count("*").over(whole).cast("int")))  # a protein's residues
         near = F.col("_d2") <= F.greatest(F.col("_cut") * F.col("_cut"), third)

@@ -62,3 +62,18 @@ def test_open_poses_and_no_structure(spark):
     got = {r["structure_id"]: r["tm_searched"] for r in tm_search.tm_score_searched(atoms, reference).collect()}
     assert got["ref"] == pytest.approx(1) and got["one"] is None
     assert tm_search.tm_score_searched(atoms.limit(0), reference).count() == 0
+
+
+def test_roots_are_made_once(spark, monkeypatch):
+    """A condition on the rotation, moved below the roots, made the plan hold a root for each of their uses: over 150 s (stopped) on 500 structures."""
+    plans = []
+
+    def noted(df, tag):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, tag)
+
+    stored = tm_search.stored
+    monkeypatch.setattr(tm_search, "stored", noted)
+    atoms = points(spark, {"ref": [(i, i % 2, i % 3) for i in range(20)], "two": [(i, i % 3, i % 2) for i in range(20)]})
+    assert tm_search.tm_score_searched(atoms, atoms.where("structure_id = 'ref'"), rounds=1).count() == 2
+    assert max(len(plan) for _, plan in plans) < 100_000
