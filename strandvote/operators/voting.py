@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 
 def pair_groups_structures(groups: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:
     """Groups that have a structure, with its columns."""
@@ -15,12 +17,14 @@ def cast_votes(members: DataFrame, structure_bins: DataFrame, source: DataFrame
     """One vote, header and bins, for each row of a group whose structure has a bin; headers outside source don't vote.
 
     Groups meet their bins first, so tables bucketed by keys are joined as they lie. (A semi join would be moved
-    below that join, and members dealt by header and then by their keys.)
+    below that join, and members dealt by header and then by their keys.) With a source, votes are dealt by header as
+    their number needs, on both sides alike, and are counted where they then lie.
     """
     voted = structure_bins.where(" AND ".join(f"{b} IS NOT NULL" for b in bins)).select(*keys, *bins)
     rows = members.select(*keys, header).join(voted, keys)
     if source is not None:
-        rows = rows.join(source.select(header).distinct(), header)
+        n = members.count()
+        rows = dealt(rows, header, n).join(dealt(source.select(header), header, n).distinct(), header)
     return rows.select(header, *bins)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from strandvote import storage
 from strandvote.operators import recompile, voting
 from strandvote.plans import layout
 
@@ -41,3 +44,15 @@ def test_votes_are_dealt_by_header_only(tables):
     assert "hashpartitioning(g" not in plan and "hashpartitioning(header" in plan
     want = voting.consensus_bin(voting.vote_counts(voting.cast_votes(members, bins, source, ["g"], ["bin_1"]), ["bin_1"]), ["bin_1"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_partitions_of_votes_grow_with_them(tables, monkeypatch):
+    """One task held the votes of all headers of a fixed number of partitions."""
+    monkeypatch.setattr(storage, "DEALT", 100)
+    members, bins, source, *_ = tables
+    got = voting.consensus_bin(voting.vote_counts(voting.cast_votes(members, bins, source, ["g"], ["bin_1"]), ["bin_1"]), ["bin_1"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(header#\d+, 30\)", plan)) == 2 and not re.search(r"hashpartitioning\(header#\d+, (?!30\))", plan)
+    monkeypatch.undo()
+    want = voting.consensus_bin(voting.vote_counts(voting.cast_votes(members, bins, source, ["g"], ["bin_1"]), ["bin_1"]), ["bin_1"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
