@@ -24,7 +24,7 @@ def cast_votes(members: DataFrame, structure_bins: DataFrame, source: DataFrame
     rows = members.select(*keys, header).join(voted, keys)
     if source is not None:
         n = members.count()
-        rows = dealt(rows, header, n).join(dealt(source.select(header), header, n).distinct(), header)
+        rows = dealt(rows, n, header).join(dealt(source.select(header), n, header).distinct(), header)
     return rows.select(header, *bins)
 
 

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import header_key, strip_insertions
 from ..operators.recompile import last_wins
+from ..storage import dealt
 
 QUERY = "101"
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their number in their split, from 1: a task reads the rows of a split one after the other."""
+    last, before = None, 0
+    for b in (b for b in batches if b.num_rows):
+        file, block = b.column("msa_id").dictionary_encode().indices.to_numpy(), b.column("block").to_numpy()
+        starts = np.r_[0, np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1]
+        lengths = np.diff(np.r_[starts, b.num_rows])
+        number = np.arange(1, b.num_rows + 1) - np.repeat(starts, lengths)
+        if (b.column("msa_id")[0].as_py(), block[0]) == last:
+            number[: lengths[0]] += before
+        last, before = (b.column("msa_id")[b.num_rows - 1].as_py(), block[-1]), int(number[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], [*b.schema.names, "number"])
+
+
 def read_a3m(spark: SparkSession, path: str) -> DataFrame:
     """msa_id (the file), pos, header, seq of all records.
 
     Records are split by Spark's reader at '\\n>', so one file is read by many tasks. Text before the
     first header is left out; of a repeated header the first place and the last sequence count. pos
     orders the records of a file and has gaps: it is the first byte of the record's split plus its number in
-    that split, whose records have two bytes or more each. A window holds one split, not a file.
+    that split, whose records have two bytes or more each. Records are numbered as they are read and dealt once, by
+    file and header, as their number needs.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("msa_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("msa_id"), F.col("_metadata.file_block_start").alias("block"))
     text = F.regexp_replace(F.replace(F.col("value"), F.lit("\r"), F.lit("")), r"^\n+", "")
-    ranked = raw.withColumn("pos", F.col("block") + F.row_number().over(W.partitionBy("msa_id", "block").orderBy("id")))
+    ranked = raw.mapInArrow(_numbered, "value string, msa_id string, block long, number long").withColumn("pos", F.col("block") + F.col("number"))
     # the reader leaves the '>' of a file's first record only; a first record without it is text before any header
     records = ranked.withColumn("record", text).where((F.col("pos") > 1) | F.col("record").startswith(">"))
     lines = F.split(F.regexp_replace("record", "^>", ""), "\n")
     seq = F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
     out = records.select("msa_id", "pos", header_key(F.element_at(lines, 1)).alias("header"), strip_insertions(seq).alias("seq")).where("header <> ''")
-    return last_wins(out.select("msa_id", "pos", "header", "seq"), ["msa_id", "header"])
+    return last_wins(dealt(out.select("msa_id", "pos", "header", "seq"), raw.count(), "msa_id", "header"), ["msa_id", "header"])
 
 
 def parse_a3m_text(files: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:

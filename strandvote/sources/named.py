@@ -2,24 +2,30 @@
 
 Spark's own writers make folders of part files. Here every row is a line, or several, of the file that it
 names. Tasks write to a folder of the attempt; only when all tasks of the job are done are their files moved to
-their names, and a job that fails leaves none. A file is written by one task, line by line.
+their names, and a job that fails leaves none. Rows are dealt by ranges of file and order, so a long file is written in
+pieces by several tasks, and one task then copies its pieces behind one another.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .. import storage
+
 PENDING = "_pending"
+#: Bytes that are copied at a time.
+CHUNK = 1 << 23
 
 
 def file_system(path: str) -> tuple[Any, str]:
@@ -44,7 +50,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
         return f"{root}/{PENDING}-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """Rows (file, value), those of a file one after the other."""
+        """Rows (file, value), those of a file one after the other; a value is the path of a piece."""
         where, root = file_system(self.path)
         folder = f"{self._pending(root)}/{uuid.uuid4().hex}"
         where.create_dir(folder, recursive=True)
@@ -60,7 +66,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
                         name = file
                         files.append((f"{folder}/{len(files)}", name))
                         out = where.open_output_stream(files[-1][0])
-                    out.write("".join(value + "\n" for _, value in lines).encode())
+                    for _, piece in lines:
+                        with where.open_input_stream(piece) as source:
+                            while chunk := source.read(CHUNK):
+                                out.write(chunk)
         finally:
             if out is not None:
                 out.close()
@@ -98,13 +107,48 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options["path"], self.options["job"])
 
 
+def _pieces(path: str, job: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes sorted rows (file, value) as pieces of this task, and yields file, part (the task's number) and value, the path of each."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = file_system(path)
+        part, folder = TaskContext.get().partitionId(), f"{root}/{PENDING}-{job}/{uuid.uuid4().hex}"
+        name, out, found = None, None, 0
+        for batch in batches:
+            done = []
+            rows = zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True)
+            for file, lines in groupby(rows, lambda r: r[0]):
+                if file != name:
+                    if out is None:
+                        where.create_dir(folder, recursive=True)
+                    else:
+                        out.close()
+                    name, found = file, found + 1
+                    done.append((name, part, f"{folder}/{found}"))
+                    out = where.open_output_stream(done[-1][2])
+                out.write("".join(value + "\n" for _, value in lines).encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["file", "part", "value"])
+        if out is not None:
+            out.close()
+
+    return write
+
+
 def write_named(rows: DataFrame, path: str, order: list[str], partitions: int | None = None) -> None:
     """Write rows (file, value and columns to order by) as single files under path; a file of that name is replaced."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(NamedFiles)
-    dealt = rows.repartition(partitions, "file") if partitions else rows.repartition("file")
-    dealt = dealt.sortWithinPartitions("file", *order).select("file", "value")
-    dealt.write.format("named_files").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    rows, job = storage.stored(rows.select("file", "value", *order), "named"), uuid.uuid4().hex  # read for the ranges, and for the files
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // storage.DEALT))
+    dealt = rows.repartitionByRange(n, "file", *order).sortWithinPartitions("file", *order).select("file", "value")
+    try:
+        pieces = storage.stored(dealt.mapInArrow(_pieces(path, job), "file string, part long, value string"), "pieces")
+        pieces = pieces.repartition("file").sortWithinPartitions("file", "part").select("file", "value")
+        pieces.write.format("named_files").option("path", path).option("job", job).mode("append").save()
+    except BaseException:
+        NamedFilesWriter(path, job).abort([])
+        raise
 
 
 def record(header: str = "header", seq: str = "seq") -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from strandvote import storage
 from strandvote.operators import sampling
 from strandvote.sources import alignments, named, votes_json
 
@@ -92,3 +94,35 @@ def test_folders_of_lines_and_objects(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 1), ("a", 1), ("a", 3), ("c", 2)]
     with pytest.raises(FileNotFoundError):
         votes_json.read_raw_votes(spark, str(tmp_path / "absent"))
+
+
+def test_records_are_dealt_as_their_number_needs(spark, tmp_path, monkeypatch):
+    """A file in many splits and batches is numbered as it is read: no window, and as many partitions as its records need."""
+    path = tmp_path / "long.a3m"
+    path.write_text("".join(f">h{i % 700}\nS{i}\n" for i in range(1000)))
+    conf = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    monkeypatch.setattr(storage, "DEALT", 100)
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        got = alignments.read_a3m(spark, str(path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and re.search(r"hashpartitioning\(msa_id#\d+, header#\d+, 10\)", plan)
+        found = [(r["header"], r["seq"]) for r in got.orderBy("pos").collect()]
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert found == [(f"h{i}", f"S{i + 700 if i < 300 else i}") for i in range(700)]
+
+
+def test_a_long_file_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """One task sorted and wrote all rows of a file."""
+    seen = []
+    monkeypatch.setattr(storage, "DEALT", 100)
+    monkeypatch.setattr(storage, "stored", lambda df, tag, real=storage.stored: seen.append((tag, real(df, tag))) or seen[-1][1])
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, "b/short").otherwise("long").alias("file"), (-F.col("id")).alias("at"), F.col("id").cast("string").alias("value"))
+    named.write_named(rows, str(tmp_path), ["at"])
+    assert [int(x) for x in (tmp_path / "long").read_text().split()] == [i for i in range(2999, -1, -1) if i % 10]
+    assert [int(x) for x in (tmp_path / "b/short").read_text().split()] == [i for i in range(2999, -1, -1) if i % 10 == 0]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b", "long"]
+    assert dict(seen)["pieces"].where("file = 'long'").count() > 10
