@@ -4,9 +4,9 @@ Texts are cut into pieces and pieces into words. A task lays the words of a bloc
 side and takes the prefix sums of a polynomial over their bytes, modulo two primes; the fingerprint of
 any run of words is then a difference of two prefixes, shifted to the beginning of its piece, so all
 runs of one to three words are hashed without making a string of them. A block's fingerprints, with their
-counts, a place where each occurs and a check value, are sorted, packed and dealt by their leading bits;
-there they are counted over all blocks. Only fingerprints that are frequent are looked up at their place
-in the text and become phrases. Where two different runs have met in a fingerprint, which the check values
+counts, a text where each occurs and a check value, are sorted, packed and dealt by their leading bits;
+there they are counted over all blocks. Only fingerprints that are frequent are looked up among the runs of
+that text and become phrases. Where two different runs have met in a fingerprint, which the check values
 tell, those runs are counted again by their text.
 
 Counts are by language; a null language is 'und', a null text empty. Rows that are the same in all columns
@@ -41,7 +41,7 @@ BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAPS = BREAKS.copy()
 GAPS[[0x20, 0x09]] = True
 
-COUNTED = "fp long, n long, clash boolean, block long, doc int, word int, keys array<struct<a:long,b:long>>, words array<struct<lang:string,n:long>>"
+COUNTED = "fp long, n long, clash boolean, block long, doc int, keys array<struct<a:long,b:long>>, words array<struct<lang:string,n:long>>"
 PACKED = "bucket long, block long, n long, packed binary, keys array<struct<a:long,b:long>>, words array<struct<lang:string,n:long>>"
 
 
@@ -146,7 +146,7 @@ def _packer(buckets: int, moduli: tuple[int, int]):
             n = np.diff(np.append(first, len(fp)))
             fp, check, at = fp[first], check[first], at[first]
             text = runs.text[at]
-            columns = [n - 1, check, text, at - runs.words.first[text]]
+            columns = [n - 1, check, text]
             bucket = (fp >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket) > 0, [True]))) if len(fp) else np.zeros(0, np.int64)
             rows += [(int(bucket[i]), block, int(j - i), _pack(fp[i:j], [c[i:j] for c in columns]), None, None) for i, j in zip(edges[:-1], edges[1:], strict=True)]
@@ -157,23 +157,23 @@ def _packer(buckets: int, moduli: tuple[int, int]):
 
 def _counter(least: int):
     def run(bucket: pa.Table) -> pa.Table:
-        """Counts of the fingerprints of a bucket, each with one of its places; of a directory's bucket the directories."""
+        """Counts of the fingerprints of a bucket, each with one of its texts; of a directory's bucket the directories."""
         block, n = bucket.column("block").to_numpy(), bucket.column("n").to_numpy()
         if bucket.column("bucket")[0].as_py() < 0:
             none = lambda t: pa.nulls(len(block), t)
-            return pa.table([none(pa.int64()), none(pa.int64()), none(pa.bool_()), bucket.column("block"), none(pa.int32()), none(pa.int32()), bucket.column("keys"), bucket.column("words")], names=_names())
-        found = [_unpack(x.as_py(), int(m), 4) for x, m in zip(bucket.column("packed"), n, strict=True)]
+            return pa.table([none(pa.int64()), none(pa.int64()), none(pa.bool_()), bucket.column("block"), none(pa.int32()), bucket.column("keys"), bucket.column("words")], names=_names())
+        found = [_unpack(x.as_py(), int(m), 3) for x, m in zip(bucket.column("packed"), n, strict=True)]
         fp, rest = np.concatenate([f for f, _ in found]), [np.concatenate(c) for c in zip(*[c for _, c in found], strict=True)]
         block = np.repeat(block, n)
         order = np.argsort(fp, kind="stable")
-        fp, block, (count, check, doc, word) = fp[order], block[order], [c[order] for c in rest]
+        fp, block, (count, check, doc) = fp[order], block[order], [c[order] for c in rest]
         first = np.flatnonzero(np.concatenate(([True], np.diff(fp) > 0)))
         total = np.add.reduceat(count.astype(np.int64) + 1, first)
         clash = np.minimum.reduceat(check, first) != np.maximum.reduceat(check, first)
         some = total >= least
         at = first[some]
         none = lambda t: pa.nulls(len(at), t)
-        return pa.table([fp[at].view(np.int64), total[some], clash[some], block[at], doc[at].astype(np.int32), word[at].astype(np.int32), none(bucket.column("keys").type), none(bucket.column("words").type)], names=_names())
+        return pa.table([fp[at].view(np.int64), total[some], clash[some], block[at], doc[at].astype(np.int32), none(bucket.column("keys").type), none(bucket.column("words").type)], names=_names())
 
     return run
 
@@ -189,7 +189,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _found(texts: DataFrame, least: int, moduli: tuple[int, int]) -> DataFrame:
-    """Frequent fingerprints with a place each, and the directory of documents of every block."""
+    """Frequent fingerprints with a text each, and the directory of documents of every block."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(size * PER_BYTE / BUCKET))
     packed = texts.select("a", "b", "lang", "text").mapInArrow(_packer(buckets, moduli), PACKED)
@@ -198,25 +198,29 @@ def _found(texts: DataFrame, least: int, moduli: tuple[int, int]) -> DataFrame:
 
 def _materialised(texts: DataFrame, found: DataFrame, moduli: tuple[int, int]) -> DataFrame:
     """lang, phrase, size (its words) and n of the frequent fingerprints in which nothing collides."""
-    places = found.where("fp IS NOT NULL AND NOT clash").select("fp", "n", "block", "doc", "word")
+    places = found.where("fp IS NOT NULL AND NOT clash").select("fp", "n", "block", "doc")
     where = found.where("keys IS NOT NULL").select("block", "keys")
-    at = places.join(where, "block").select("fp", "n", "word", F.element_at("keys", F.col("doc") + 1).alias("key"))
-    wanted = at.groupBy("key.a", "key.b").agg(F.collect_list(F.struct("fp", "word", "n")).alias("wanted"))  # as many as the text has runs
+    at = places.join(where, "block").select("fp", "n", F.element_at("keys", F.col("doc") + 1).alias("key"))
+    wanted = at.groupBy("key.a", "key.b").agg(F.collect_list(F.struct("fp", "n")).alias("wanted"))  # as many as the text has runs
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in _blocks(batches):
             langs = batch.column("lang").to_pylist()
             runs = Runs(part, langs, moduli)
             asked = batch.column("wanted")
-            fp, word, n = (asked.flatten().field(i).to_numpy() for i in range(3))
+            fp, n = (asked.flatten().field(i).to_numpy() for i in range(2))
             text = np.repeat(np.arange(len(part)), np.diff(asked.offsets.to_numpy()))
-            word = runs.words.first[text] + word
+            names, fp = np.unique(fp.view(np.uint64), return_inverse=True)
+            wanted_in = fp * len(part) + text  # a number for each fingerprint and text
             rows = []
             for size in range(1, LONGEST + 1):
                 have, _, at = runs.fingerprints(size)
-                place = np.minimum(np.searchsorted(at, word), max(len(at) - 1, 0))
-                ok = np.flatnonzero((at[place] == word) & (have[place].view(np.int64) == fp)) if len(at) else []
-                rows += [(langs[text[i]], runs.phrase(int(word[i]), size), size, int(n[i])) for i in ok]
+                slot = np.minimum(np.searchsorted(names, have), len(names) - 1)
+                hit = np.flatnonzero(names[slot] == have)
+                known, first = np.unique(slot[hit] * len(part) + runs.text[at[hit]], return_index=True)
+                place = np.minimum(np.searchsorted(known, wanted_in), max(len(known) - 1, 0))
+                ok = np.flatnonzero(known[place] == wanted_in) if len(known) else []
+                rows += [(langs[text[i]], runs.phrase(int(at[hit[first[place[i]]]]), size), size, int(n[i])) for i in ok]
             out = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "n"])
 

@@ -80,3 +80,18 @@ def test_most_per_language(make):
     rows = [(i, f"a{i % 9} b{i % 9}, c d") for i in range(120)]
     assert len(phrases.top(*phrases.collocations(make(rows)), most=4).collect()) == 4
     assert result(make(rows)) == plain(rows, 10)
+
+
+def test_packed_runs_take_some_ten_bytes_each():
+    """Disk: fingerprints, check values and texts only; a place beside them took an eighth more of what is shuffled."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(range(100), pa.int64()), pa.array(["en"] * 100), pa.array(texts)], names=["a", "b", "lang", "text"])
+    out = list(phrases._packer(1, phrases.MODULI)([batch]))
+    packed = [(n, x) for o in out for n, x in zip(o.column("n").to_pylist(), o.column("packed").to_pylist(), strict=True) if x]
+    assert sum(n for n, _ in packed) > 80_000
+    assert sum(len(x) for _, x in packed) < 10.2 * sum(n for n, _ in packed)
